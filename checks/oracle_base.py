@@ -104,7 +104,7 @@ pin_gaps AS (
 ),
 ev AS (SELECT *, (props ->> '$.k')::BIGINT AS k FROM events),
 runs AS (
-  SELECT event_id AS id, 'st' || (user_id % 25) AS store_id, ts AS at,
+  SELECT event_id AS id, 'st' || (user_id % 25) AS store_id, ts AS "at",
          CASE event_type WHEN 'signup' THEN 'anomalous' WHEN 'error' THEN 'error'
               WHEN 'purchase' THEN 'blocked' WHEN 'click' THEN 'ok' WHEN 'view' THEN 'ok' END
            AS status,
@@ -162,8 +162,7 @@ bulletins AS (
          CASE WHEN src = 1 THEN segment ELSE '' END AS brand, region, place,
          CASE WHEN src <= 2 THEN 'litre' WHEN src = 3 THEN '11-kg cylinder'
               WHEN src = 4 THEN 'kg'
-              ELSE ['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'][srp % 6 + 1]
-                || ' ' || (1 + srp % 50) END AS unit,
+              ELSE (1 + srp % 50)::VARCHAR END AS unit,
          period_start,
          CASE WHEN src <= 2 THEN period_start + 6 WHEN src = 4 THEN period_start
               ELSE last_day(period_start) END AS period_end,

@@ -48,7 +48,6 @@ MARKET_GROUPS = ["Rice", "Fish", "Vegetables"]
 SRP_GROUPS = ["Canned goods", "Noodles", "Milk"]
 SRP_ADJECTIVES = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
 SRP_NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
-SRP_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 CATALOGUE_SKUS = 200
 PINNED_ITEMS = 20
 IDS_PER_DAY = 200_000 * 10 * 20_000 * 1_000
@@ -395,7 +394,7 @@ class StarSource:
             F.when(src <= 2, "litre")
             .when(src == 3, "11-kg cylinder")
             .when(src == 4, "kg")
-            .otherwise(F.concat_ws(" ", _pick(SRP_TYPES, srp % 6), 1 + srp % 50))
+            .otherwise((1 + srp % 50).cast("string"))
             .alias("unit"),
             start.alias("period_start"),
             F.when(src <= 2, F.date_add(start, 6))
