@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from shelfindex.functions.cursor import iso
 from shelfindex.plans import basket, bulletins, catalog, health, index, pins, quality, ranking
 from shelfindex.plans.catalog import Search
-from shelfindex.session import configure
-from shelfindex.sources.star import HISTORY_MIDDLE, StarSource, _product_key
+from shelfindex.session import configure, scratch_path
+from shelfindex.sources.star import HISTORY_MIDDLE, StarSource, StarStream, _product_key
 from shelfindex.sources.tables import Tables
+from shelfindex.streaming import events as streams
+from shelfindex.streaming.history import PriceHistory
 
 # Parameters of the registered queries.
 TIERS = ("core", "stretch")
@@ -115,7 +117,41 @@ def cart(t: Tables) -> DataFrame:
     return basket.rails(t)
 
 
-BATCH: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
+def stream_feed(t: Tables, s: StarSource) -> DataFrame:
+    live = StarStream(s.spark, s.folder, ("events",))
+    events = streams.feed_stream(live.runs(), live.incidents(), live.alerts(), t.stores)
+    return streams.write_feed(events, scratch_path(s.spark, "feed"))
+
+
+def stream_change_only(t: Tables, s: StarSource) -> DataFrame:
+    """Steps found by the stream, with the columns the batch history carries."""
+    history = PriceHistory.scratch(s.spark, "changes", width=t.id_slice)
+    history.run(readings(StarStream(s.spark, s.folder, ("lineitem",))))
+    return s.with_unit_prices(history.read_steps())
+
+
+def stream_latest(t: Tables, s: StarSource) -> DataFrame:
+    history = PriceHistory.scratch(s.spark, "latest")
+    history.run(readings(StarStream(s.spark, s.folder, ("lineitem",))), steps=False)
+    return history.latest.current()
+
+
+def stream_dedup(t: Tables, s: StarSource) -> DataFrame:
+    """Every run delivered twice, applied once."""
+    live = StarStream(s.spark, s.folder, ("events",))
+    twice = live.runs().unionByName(live.runs())
+    once = streams.unique_runs(twice).select("id", "store_id", "at", "status", "rows")
+    return streams.write_feed(once, scratch_path(s.spark, "runs"))
+
+
+def stream_runs_daily(t: Tables, s: StarSource) -> DataFrame:
+    live = StarStream(s.spark, s.folder, ("events",))
+    return streams.write_daily(
+        s.spark, streams.daily_runs(live.runs()), scratch_path(s.spark, "daily")
+    )
+
+
+QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     # base
     "latest_price": lambda t, s: pins.latest_price(t),
     "unit_price": lambda t, s: quality.unit_prices(t),
@@ -229,6 +265,12 @@ BATCH: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     "dq_coverage": lambda t, s: quality.dq_coverage(t, COVERAGE_DAYS, COVERAGE),
     "dq_items": lambda t, s: quality.dq_items(t),
     "dq_orphans": lambda t, s: quality.dq_orphans(t),
+    # streams
+    "stream_feed": stream_feed,
+    "stream_change_only": stream_change_only,
+    "stream_latest": stream_latest,
+    "stream_dedup": stream_dedup,
+    "stream_runs_daily": stream_runs_daily,
 }
 
 
@@ -240,4 +282,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {name: bound(build) for name, build in BATCH.items()}
+    return {name: bound(build) for name, build in QUERIES.items()}

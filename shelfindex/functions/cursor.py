@@ -64,5 +64,6 @@ def iso(at: Column) -> Column:
 
 def encoded(fields: Column) -> Column:
     """`encode` for a struct column."""
-    plain = F.base64(F.encode(F.to_json(fields), "UTF-8"))
-    return F.translate(F.rtrim(plain, F.lit("=")), "+/", "-_")
+    wrapped = F.base64(F.encode(F.to_json(fields), "UTF-8"))
+    # base64 breaks lines after 76 characters; translate drops what has no counterpart.
+    return F.translate(wrapped, "+/=\r\n", "-_")

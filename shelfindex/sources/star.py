@@ -170,23 +170,32 @@ class StarSource:
 
     def price_observations(self) -> DataFrame:
         steps = change_only(self.readings(), ["store_id", "sku"], width=self.id_slice())
-        sized = steps.join(self._sizes(), "sku")
-        quantity, uom = F.col("size_quantity"), F.col("size_base_uom")
-        country_code = (
-            self.stores().select("store_id", "currency")
+        keyed = steps.withColumn("product_key", _product_key(F.col("sku"))).drop("sku")
+        return self.with_unit_prices(keyed)
+
+    def with_unit_prices(self, steps: DataFrame) -> DataFrame:
+        """Price steps with their store's currency and the unit price by the product's size."""
+        sizes = self._sizes().select(
+            _product_key(F.col("sku")).alias("product_key"), "size_quantity", "size_base_uom"
         )
-        return sized.join(country_code, "store_id").select(
-            "id",
-            "store_id",
-            _product_key(F.col("sku")).alias("product_key"),
-            "observed_at",
-            "price",
-            "currency",
-            unit_price(F.col("price"), quantity, uom).alias("unit_price"),
-            F.when(quantity.isNotNull(), basis_of(uom)).alias("unit_price_basis"),
-            "change",
-            "previous_price",
-            "delta",
+        currencies = self.stores().select("store_id", "currency")
+        quantity, uom = F.col("size_quantity"), F.col("size_base_uom")
+        return (
+            steps.join(sizes, "product_key")
+            .join(currencies, "store_id")
+            .select(
+                "id",
+                "store_id",
+                "product_key",
+                "observed_at",
+                "price",
+                "currency",
+                unit_price(F.col("price"), quantity, uom).alias("unit_price"),
+                F.when(quantity.isNotNull(), basis_of(uom)).alias("unit_price_basis"),
+                "change",
+                "previous_price",
+                "delta",
+            )
         )
 
     def products(self) -> DataFrame:
@@ -419,3 +428,21 @@ class StarSource:
     def baselines(self) -> DataFrame:
         before = self.price_observations().filter(F.col("observed_at") < F.lit(HISTORY_MIDDLE))
         return quality.build_baselines(before)
+
+
+class StarStream(StarSource):
+    """The same derivations with chosen tables read as streams of files."""
+
+    def __init__(self, spark: SparkSession, folder: str, streamed: tuple[str, ...]):
+        super().__init__(spark, folder)
+        self.streamed = streamed
+
+    def raw(self, name: str) -> DataFrame:
+        table = super().raw(name)
+        if name not in self.streamed:
+            return table
+        return (
+            self.spark.readStream.schema(table.schema)
+            .option("pathGlobFilter", f"{name}*.parquet")
+            .parquet(self.folder)
+        )
