@@ -114,7 +114,7 @@ def gaps_text(t: Tables) -> DataFrame:
 
 
 def cart(t: Tables) -> DataFrame:
-    return basket.rails(t)
+    return ranking.rail_pins(t)
 
 
 def stream_feed(t: Tables, s: StarSource) -> DataFrame:
@@ -221,7 +221,7 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
         "tokens", F.array_join("tokens", " ")
     ),
     "collapse_listings": lambda t, s: catalog.collapse_listings(
-        catalog.with_latest(catalog.catalogue(t), t, narrow=False).select(
+        catalog.with_latest(catalog.catalogue(t), t).select(
             "store_id", "product_key", "name", "price"
         )
     ),
@@ -274,11 +274,22 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
 }
 
 
+_SOURCES: dict[tuple[str, str], tuple[Tables, StarSource]] = {}
+
+
+def opened(spark: SparkSession, folder: str) -> tuple[Tables, StarSource]:
+    """The tables of a folder, built once per application; DataFrames stay lazy."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SOURCES:
+        source = StarSource(configure(spark), folder)
+        _SOURCES[key] = (source.tables(), source)
+    return _SOURCES[key]
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build: Callable[[Tables, StarSource], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            source = StarSource(configure(spark), folder)
-            return shown(build(source.tables(), source))
+            return shown(build(*opened(spark, folder)))
 
         return run
 

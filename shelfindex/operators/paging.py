@@ -25,6 +25,14 @@ def probe(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit + 1)
 
 
+def fetched(page: DataFrame, rows: int) -> DataFrame:
+    """A result of at most `rows` rows, computed once, for joining details to it.
+
+    Only for results whose size is a parameter of the request, such as a page.
+    """
+    return page.sparkSession.createDataFrame(page.take(rows), page.schema)
+
+
 @dataclass(frozen=True)
 class Page:
     items: list[Row]

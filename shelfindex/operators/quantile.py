@@ -18,16 +18,33 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with an exact quantile column for each named probability, as double.
 
-    Equal values are counted before anything is shuffled by key. Counts are then summed into
-    value ranges of width `bucket`; only the ranges that hold a wanted rank are looked into,
-    so no task sees a whole group: one sees at most the ranges of a key, another at most the
-    distinct values of one range (10,000 for four decimals and width 1).
+    Equal values are counted in every task before anything is shuffled by key.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_range", F.floor(F.col("_v") / F.lit(bucket)))
+        .groupBy(*keys, F.col(value).alias("value"))
+        .agg(F.count("*").alias("n"))
+    )
+    return quantiles_of_counts(counts, keys, probabilities, bucket)
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    keys: Sequence[str],
+    probabilities: Mapping[str, float],
+    bucket: float = 1.0,
+) -> DataFrame:
+    """Exact quantiles of `value` occurring `n` times, and the number `total` per key.
+
+    Counts are summed into value ranges of width `bucket`; only the ranges that hold a wanted
+    rank are looked into. So no task sees a whole group: one sees the ranges of a key,
+    another the distinct values of one range (10,000 for four decimals and width 1).
+    """
+    counts = counts.select(
+        *keys,
+        F.col("value").alias("_v"),
+        F.col("n").alias("_n"),
+        F.floor(F.col("value") / F.lit(bucket)).alias("_range"),
     )
     by_key = W.partitionBy(*keys)
     upto = by_key.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -37,6 +54,7 @@ def exact_quantiles(
         .withColumn("_end", F.sum("_n").over(upto))
         .withColumn("_total", F.sum("_n").over(by_key))
     )
+    holds = (F.col("_t.rank") < F.col("_end")) & (F.col("_t.rank") >= F.col("_end") - F.col("_n"))
     wanted = F.array(
         *[
             F.struct(
@@ -51,7 +69,7 @@ def exact_quantiles(
     )
     targets = (
         ranges.withColumn("_t", F.explode(wanted))
-        .filter((F.col("_t.rank") < F.col("_end")) & (F.col("_t.rank") >= F.col("_end") - F.col("_n")))
+        .filter(holds)
         .groupBy(*keys, "_range", (F.col("_end") - F.col("_n")).alias("_start"), "_total")
         .agg(F.collect_list("_t").alias("_targets"))
     )
@@ -62,7 +80,7 @@ def exact_quantiles(
         counts.join(targets, [*keys, "_range"])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_t", F.explode("_targets"))
-        .filter((F.col("_t.rank") < F.col("_end")) & (F.col("_t.rank") >= F.col("_end") - F.col("_n")))
+        .filter(holds)
     )
     results = []
     number = F.col("_v").cast("double")
@@ -71,4 +89,4 @@ def exact_quantiles(
         high = F.max(F.when((F.col("_t.name") == name) & (F.col("_t.side") == "high"), number))
         position = F.lit(p) * (F.max("_total") - 1)
         results.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return placed.groupBy(*keys).agg(*results)
+    return placed.groupBy(*keys).agg(*results, F.max("_total").alias("total"))

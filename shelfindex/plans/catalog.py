@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from shelfindex.functions import cursor as cursors
 from shelfindex.functions.prices import known_basis, pct_below
@@ -23,10 +23,11 @@ from shelfindex.functions.text import (
 )
 from shelfindex.functions.verdicts import imprecise_size
 from shelfindex.operators.ordered import latest_by, top_by
-from shelfindex.operators.paging import Page, after, probe, take_page
-from shelfindex.operators.quantile import exact_quantiles
+from shelfindex.operators.paging import Page, after, fetched, probe, take_page
+from shelfindex.operators.quantile import quantiles_of_counts
 from shelfindex.plans.bulletins import srp_latest
 from shelfindex.plans.pins import PRODUCT
+from shelfindex.session import checkpointed
 from shelfindex.sources.tables import Tables
 
 # Fixed values of the catalogue.
@@ -59,11 +60,17 @@ def catalogue(tables: Tables) -> DataFrame:
     return tables.products.join(stores, "store_id").withColumn("imprecise", imprecise_size())
 
 
+def history_of(tables: Tables, products: DataFrame | None) -> DataFrame:
+    """Price observations, only of the given products; the restriction reaches the scan."""
+    observations = tables.price_observations
+    if products is None:
+        return observations
+    return observations.join(products.select(*PRODUCT), PRODUCT, "left_semi")
+
+
 def sparkline(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     """Per product its newest 30 price steps, oldest first, and whether the last one fell."""
-    steps = tables.price_observations.select(*PRODUCT, "id", "observed_at", "price")
-    if among is not None:
-        steps = steps.join(among.select(*PRODUCT), PRODUCT, "left_semi")
+    steps = history_of(tables, among).select(*PRODUCT, "id", "observed_at", "price")
     newest = top_by(steps, PRODUCT, [F.col("id").desc()], SPARK_POINTS)
     point = F.struct("id", F.date_format("observed_at", "yyyy-MM-dd").alias("d"),
                      F.col("price").alias("p"))
@@ -77,13 +84,13 @@ def sparkline(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     )
 
 
-def with_latest(products: DataFrame, tables: Tables, narrow: bool = True) -> DataFrame:
-    """Add the latest observation of each product, reading history only for those products."""
-    observations = tables.price_observations
-    if narrow:
-        observations = observations.join(products.select(*PRODUCT), PRODUCT, "left_semi")
-    latest = latest_by(observations, PRODUCT, "id", LATEST)
-    return products.join(latest, PRODUCT, "left")
+def with_latest(products: DataFrame, tables: Tables, narrow: bool = False) -> DataFrame:
+    """Add the latest observation of each product.
+
+    `narrow` reads history for these products only; worth it when they were computed already.
+    """
+    history = history_of(tables, products if narrow else None)
+    return products.join(latest_by(history, PRODUCT, "id", LATEST), PRODUCT, "left")
 
 
 def as_hits(found: DataFrame, tables: Tables) -> DataFrame:
@@ -149,7 +156,7 @@ def search_keys(tables: Tables, search: Search) -> tuple[DataFrame, list[Column]
     """
     found = matches(tables, search)
     if search.sort == "unit_price" or search.basis is not None:
-        found = with_latest(found, tables, narrow=search.q is not None)
+        found = with_latest(found, tables)
     if search.basis is not None:
         found = found.filter(F.col("unit_price_basis") == search.basis)
 
@@ -188,9 +195,9 @@ def search(tables: Tables, params: Search) -> DataFrame:
     Latest price and sparkline are joined to the page's rows, not to every match.
     """
     found, key = search_keys(tables, params)
-    page = probe(found, key, params.limit)
+    page = fetched(probe(found, key, params.limit), params.limit + 1)
     if "price" not in page.columns:
-        page = with_latest(page, tables)
+        page = with_latest(page, tables, narrow=True)
     return as_hits(page, tables).orderBy(*key)
 
 
@@ -271,42 +278,45 @@ def over_srp(tables: Tables, params: Search) -> DataFrame:
     )
 
 
-def collapse_listings(hits: DataFrame) -> DataFrame:
+def collapse_listings(hits: DataFrame, order: Sequence[str] = ("product_key",)) -> DataFrame:
     """Fold hits that agree on store, name and price into the first, with their number."""
     rest = [c for c in hits.columns if c not in ("store_id", "price")]
     return (
         hits.groupBy("store_id", F.lower("name").alias("_name"), "price")
         .agg(
-            F.min_by(F.struct(*rest), "product_key").alias("_first"),
+            F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"),
             F.count("*").alias("listings"),
         )
         .select("store_id", "price", "_first.*", "listings")
     )
 
 
-def window_prices(
+def window_price_counts(
     tables: Tables, days: int = MEDIAN_DAYS, among: DataFrame | None = None
 ) -> DataFrame:
-    """Price steps of the last `days` days, and per product the step in effect at their start."""
-    steps = tables.price_observations.select(*PRODUCT, "id", "observed_at", "price")
-    if among is not None:
-        steps = steps.join(among.select(*PRODUCT), PRODUCT, "left_semi")
+    """How often each price was stepped to in the last `days` days, per product.
+
+    The step in effect when the window opened counts once. One pass: recent steps are counted
+    by price, older ones reduce to their newest, both before the shuffle.
+    """
     recent = F.col("observed_at") > tables.days_ago(days)
-    opening = (
-        steps.filter(~recent)
-        .groupBy(*PRODUCT)
-        .agg(F.max_by("price", "id").alias("price"))
+    steps = history_of(tables, among).select(
+        *PRODUCT, "id", "price", recent.alias("recent"), F.when(recent, F.col("price")).alias("at")
+    )
+    return (
+        steps.groupBy(*PRODUCT, "recent", "at")
+        .agg(F.count("*").alias("times"), F.max_by("price", "id").alias("value"))
+        .select(*PRODUCT, "value", F.when(F.col("recent"), F.col("times")).otherwise(1).alias("n"))
     )
-    return steps.filter(recent).select(*PRODUCT, "price").unionByName(opening)
 
 
 def median_price(
     tables: Tables, days: int = MEDIAN_DAYS, among: DataFrame | None = None
 ) -> DataFrame:
     """Exact median and number of the window's price steps per product."""
-    prices = window_prices(tables, days, among)
-    steps = prices.groupBy(*PRODUCT).agg(F.count("*").alias("steps"))
-    return exact_quantiles(prices, PRODUCT, "price", {"median30": 0.5}).join(steps, PRODUCT)
+    counts = window_price_counts(tables, days, among)
+    medians = quantiles_of_counts(counts, PRODUCT, {"median30": 0.5})
+    return medians.withColumnRenamed("total", "steps")
 
 
 def drop_candidates(tables: Tables) -> DataFrame:
@@ -327,7 +337,8 @@ def drops(
 ) -> DataFrame:
     """Products at least 10% under their own 30-day median, deepest first.
 
-    Only products priced down within the week enter the median.
+    Only products priced down within the week enter the median; that list, no longer than
+    the catalogue, is computed once.
     """
     if not 1 <= limit <= DROPS_MOST:
         raise ValueError(f"limit is 1 to {DROPS_MOST}")
@@ -335,9 +346,9 @@ def drops(
     products = catalogue(tables).filter(F.col("active") & listed(tables, listed_days))
     if category is not None:
         products = products.filter(F.col("category") == category)
-    shown = products.join(candidates, PRODUCT, "left_semi")
+    shown = checkpointed(products.join(candidates, PRODUCT, "left_semi"))
     medians = median_price(tables, among=shown).filter(F.col("steps") >= DROP_STEPS)
-    priced = with_latest(shown, tables).join(medians, PRODUCT)
+    priced = with_latest(shown, tables, narrow=True).join(medians, PRODUCT)
     price = F.col("price").cast("double")
     ceiling = F.lit(float(1 - DROP_THRESHOLD)) * F.col("median30")
     depth = (F.col("median30") - price) / F.nullif("median30", F.lit(0.0))
@@ -347,14 +358,14 @@ def drops(
         .orderBy(depth.desc_nulls_last(), "store_id", "product_key")
         .limit(limit)
     )
-    return as_hits(deepest, tables)
+    return as_hits(fetched(deepest, limit), tables)
 
 
 def product(tables: Tables, store_id: str, product_key: str) -> DataFrame:
     """One product as a hit, with its unit, first day and whether it is still listed."""
     mine = (F.col("store_id") == store_id) & (F.col("product_key") == product_key)
-    row = catalogue(tables).filter(mine)
-    hit = as_hits(with_latest(row, tables), tables).drop("spark")
+    row = fetched(catalogue(tables).filter(mine), 1)
+    hit = as_hits(with_latest(row, tables, narrow=True), tables).drop("spark")
     rest = row.select(*PRODUCT, "unit", "first_seen", listed(tables).alias("listed"))
     return hit.join(rest, PRODUCT)
 
@@ -369,11 +380,8 @@ def product_history(tables: Tables, store_id: str, product_key: str) -> DataFram
 
 def product_stats(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     """The 90-day low and 30-day median of products; null where the window holds nothing."""
-    steps = tables.price_observations
-    if among is not None:
-        steps = steps.join(among.select(*PRODUCT), PRODUCT, "left_semi")
     recent = F.col("observed_at") > tables.days_ago(LOW_DAYS)
-    lows = steps.groupBy(*PRODUCT).agg(F.min(F.when(recent, F.col("price"))).alias("low90"))
+    lows = history_of(tables, among).groupBy(*PRODUCT).agg(F.min(F.when(recent, F.col("price"))).alias("low90"))
     medians = median_price(tables, among=among).select(*PRODUCT, "median30")
     return lows.join(medians, PRODUCT, "left")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from shelfindex.functions.prices import extended
 from shelfindex.operators.asof import daily_values, outside_gaps, value_spans
 from shelfindex.operators.ordered import islands, with_neighbour
-from shelfindex.plans.pins import PRODUCT, index_pins
+from shelfindex.plans.pins import PRODUCT, index_pins, pinned_days
 from shelfindex.sources.tables import Tables
 
 # A store above this multiple of the index leaves the chart, and the least
@@ -27,8 +27,8 @@ def index_observations(tables: Tables, country: str | None = None) -> DataFrame:
     A pin's verdict is taken on its latest price and applied to all of its history.
     """
     good = index_pins(tables, country).filter(~F.col("suspect")).select(*LINE, "want_basis")
-    observations = tables.price_observations.select(
-        *PRODUCT, "id", "unit_price", "unit_price_basis", F.to_date("observed_at").alias("day")
+    observations = pinned_days(tables).select(
+        *PRODUCT, "id", "unit_price", "unit_price_basis", "day"
     ).filter(F.col("unit_price").isNotNull())
     return (
         observations.join(good, PRODUCT)

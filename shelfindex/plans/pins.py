@@ -33,6 +33,31 @@ def latest_price(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     )
 
 
+def pinned_days(tables: Tables) -> DataFrame:
+    """The newest observation per pinned product, day and basis, priced and unpriced apart.
+
+    Everything about pins starts here: history is read once, reduced in every task to one row
+    per product, day and basis, and kept, however many steps a single product holds.
+    """
+
+    def build() -> DataFrame:
+        pins = tables.basket_map.filter(F.col("product_key").isNotNull()).select(*PRODUCT)
+        newest = F.struct("id", *LATEST_COLUMNS)
+        return (
+            tables.price_observations.join(pins, PRODUCT, "left_semi")
+            .groupBy(
+                *PRODUCT,
+                F.to_date("observed_at").alias("day"),
+                F.col("unit_price_basis").alias("_basis"),
+                F.col("unit_price").isNotNull().alias("_priced"),
+            )
+            .agg(F.max_by(newest, "id").alias("newest"))
+            .select(*PRODUCT, "day", "newest.*")
+        )
+
+    return tables.keep("pinned_days", build)
+
+
 def pinned(
     tables: Tables,
     tiers: tuple[str, ...] = ("core",),
@@ -83,7 +108,7 @@ def pinned(
 
 def priced(tables: Tables, pins: DataFrame, skip_stale: bool = False) -> DataFrame:
     """Pins with their latest price, unpriced ones kept; a stale pin keeps its row, not its price."""
-    latest = latest_price(tables, among=tables.basket_map).select(*PRODUCT, *LATEST_COLUMNS)
+    latest = latest_by(pinned_days(tables), PRODUCT, "id", LATEST_COLUMNS)
     joined = pins.join(latest, PRODUCT, "left")
     if not skip_stale:
         return joined

@@ -226,5 +226,7 @@ def headline_counts(pins: DataFrame) -> DataFrame:
 
 
 def rail_pins(tables: Tables, country: str | None = None, tiers=("core",)) -> DataFrame:
-    """The pins every ranking reads."""
-    return rails(tables, country, tiers)
+    """The rails every ranking reads, computed once: at most one row per item and store."""
+    return tables.keep(
+        f"rails-{country}-{'-'.join(tiers)}", lambda: rails(tables, country, tiers)
+    )

@@ -48,6 +48,25 @@ MARKET_GROUPS = ["Rice", "Fish", "Vegetables"]
 SRP_GROUPS = ["Canned goods", "Noodles", "Milk"]
 SRP_ADJECTIVES = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
 SRP_NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
+# Columns read from each input table.
+INPUT = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+    "orders": """
+        o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string
+    """,
+    "lineitem": """
+        l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz
+    """,
+    "events": """
+        event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string
+    """,
+}
 CATALOGUE_SKUS = 200
 PINNED_ITEMS = 20
 IDS_PER_DAY = 200_000 * 10 * 20_000 * 1_000
@@ -80,18 +99,25 @@ class StarSource:
         self.folder = folder
         self._width: int | None = None
         self._sized = False
+        self._derived: dict[str, DataFrame] = {}
 
     def tables(self) -> Tables:
         return Tables(
             self.spark,
-            lambda name: conform(getattr(self, name)(), name),
+            self.table,
             AS_OF,
             CURRENCIES,
             id_slice=self.id_slice(),
         )
 
+    def table(self, name: str) -> DataFrame:
+        """A domain table; built once, since building an expression tree is not free."""
+        if name not in self._derived:
+            self._derived[name] = conform(getattr(self, name)(), name)
+        return self._derived[name]
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(INPUT[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def id_slice(self) -> int | None:
         """Ordered work per task, sized by the row count and the date span of the input."""
@@ -438,11 +464,10 @@ class StarStream(StarSource):
         self.streamed = streamed
 
     def raw(self, name: str) -> DataFrame:
-        table = super().raw(name)
         if name not in self.streamed:
-            return table
+            return super().raw(name)
         return (
-            self.spark.readStream.schema(table.schema)
+            self.spark.readStream.schema(INPUT[name])
             .option("pathGlobFilter", f"{name}*.parquet")
             .parquet(self.folder)
         )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfindex.session import checkpointed
 from shelfindex.sources.schemas import TABLES
 
 # Currency codes used where neither the observation nor the store carries one.
@@ -38,6 +39,7 @@ class Tables:
         self.id_slice = id_slice
         self._load = load
         self._loaded: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
@@ -46,6 +48,12 @@ class Tables:
             self._loaded[name] = self._load(name)
         return self._loaded[name]
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A reduction several plans start from, computed once and kept in the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = checkpointed(build())
+        return self._kept[name]
+
     @property
     def now(self) -> Column:
         """`as_of` as a timestamp column."""
