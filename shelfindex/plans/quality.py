@@ -23,33 +23,59 @@ NULL_FIELDS = ("unit_price", "unit_price_basis", "previous_price")
 ENVELOPE = {"p5": 0.05, "p95": 0.95}
 
 
-def record_violations(records: DataFrame) -> DataFrame:
-    """Per record the names of the contract rules it breaks."""
-    rules = {
-        "product_key": F.coalesce(F.length("product_key"), F.lit(0)) >= 1,
-        "name": F.coalesce(F.length("name"), F.lit(0)) >= 1,
-        "unit": F.coalesce(F.length("unit"), F.lit(0)) >= 1,
+def _present(column: str) -> Column:
+    return F.coalesce(F.length(column), F.lit(0)) >= 1
+
+
+def product_rules() -> dict[str, Column]:
+    """Contract rules a product's own columns must meet."""
+    url = F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/]+")
+    return {
+        "product_key": _present("product_key"),
+        "name": _present("name"),
+        "unit": _present("unit"),
+        "url": F.coalesce(url, F.lit(False)),
+    }
+
+
+def reading_rules() -> dict[str, Column]:
+    """Contract rules a price reading must meet."""
+    return {
         "price": F.coalesce(F.col("price") > 0, F.lit(False)),
         "currency": F.coalesce(F.length("currency") == 3, F.lit(False)),
-        "url": F.coalesce(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/]+"), F.lit(False)),
         "observed_at": F.col("observed_at").isNotNull(),
     }
-    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
-    return records.withColumn("violations", broken)
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    return ~reduce(lambda a, b: a & b, rules.values())
 
 
 def dq_schema(tables: Tables) -> DataFrame:
-    """Rows and rule violations per store, over every observation with its product.
+    """Rows and rejected rows per store, over every observation with its product.
 
-    Product rules are judged once per product and carried to its observations.
+    Readings are judged and counted per product before products are joined, so a product with
+    most of the history is one row by then.
     """
-    products = tables.products.select(*PRODUCT, "name", "unit", "url")
-    checked = record_violations(tables.price_observations.join(products, PRODUCT))
-    return checked.groupBy("store_id").agg(
+    counts = tables.price_observations.groupBy(*PRODUCT).agg(
         F.count("*").alias("records"),
-        F.count(F.when(F.size("violations") > 0, 1)).alias("rejected"),
-        F.count(F.when(F.array_contains("violations", "unit"), 1)).alias("bad_unit"),
-        F.count(F.when(F.array_contains("violations", "price"), 1)).alias("bad_price"),
+        F.count(F.when(_broken(reading_rules()), 1)).alias("bad_readings"),
+        F.count(F.when(~reading_rules()["price"], 1)).alias("bad_price"),
+    )
+    rules = product_rules()
+    products = tables.products.select(
+        *PRODUCT, _broken(rules).alias("bad_product"), (~rules["unit"]).alias("no_unit")
+    )
+    return (
+        counts.join(products, PRODUCT)
+        .groupBy("store_id")
+        .agg(
+            F.sum("records").alias("records"),
+            F.sum(F.when(F.col("bad_product"), F.col("records")).otherwise(F.col("bad_readings")))
+            .alias("rejected"),
+            F.sum(F.when(F.col("no_unit"), F.col("records")).otherwise(0)).alias("bad_unit"),
+            F.sum("bad_price").alias("bad_price"),
+        )
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfindex.operators.ordered import slice_width
 from shelfindex.session import checkpointed
 from shelfindex.sources.schemas import TABLES
 
@@ -80,7 +81,7 @@ class Tables:
         def load(name: str) -> DataFrame:
             return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
-        return cls(spark, load, as_of or _latest_day(load("price_observations")), **options)
+        return cls._measured(spark, load, as_of, options)
 
     @classmethod
     def from_jdbc(
@@ -104,17 +105,25 @@ class Tables:
                 reader = reader.options(**settings)
             return conform(reader.load(), name)
 
-        return cls(spark, load, as_of or _latest_day(load("price_observations")), **options)
+        return cls._measured(spark, load, as_of, options)
+
+    @classmethod
+    def _measured(cls, spark, load, as_of: date | None, options: dict):
+        """Fill in the reading day and the id slice from the history where they are not given."""
+        if as_of is None or "id_slice" not in options:
+            rows, low, high, latest = (
+                load("price_observations")
+                .agg(F.count("*"), F.min("id"), F.max("id"), F.max(F.to_date("observed_at")))
+                .first()
+            )
+            if as_of is None and latest is None:
+                raise ValueError("no observations: give as_of explicitly")
+            as_of = as_of or latest
+            options = {"id_slice": slice_width(rows, low or 0, high or 0), **options}
+        return cls(spark, load, as_of, **options)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the declared columns of `table` from `df`, in the declared types."""
     fields = StructType.fromDDL(TABLES[table]).fields
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-
-
-def _latest_day(observations: DataFrame) -> date:
-    latest = observations.agg(F.max(F.to_date("observed_at"))).first()[0]
-    if latest is None:
-        raise ValueError("no observations: give as_of explicitly")
-    return latest
