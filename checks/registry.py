@@ -102,11 +102,14 @@ def readings(source: StarSource) -> DataFrame:
 def page_two_by_price(t: Tables) -> DataFrame:
     first = Search(sort="unit_price", limit=40)
     cursor = catalog.search_cursor(t, first)
+    if cursor is None:
+        return catalog.search(t, first).limit(0)
     return catalog.search(t, Search(sort="unit_price", limit=40, cursor=cursor))
 
 
 def feed_page_two(t: Tables) -> DataFrame:
-    return health.feed(t, 50, health.feed_page(t, 50).next_cursor)
+    cursor = health.feed_page(t, 50).next_cursor
+    return health.feed(t, 50).limit(0) if cursor is None else health.feed(t, 50, cursor)
 
 
 def gaps_text(t: Tables) -> DataFrame:
