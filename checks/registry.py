@@ -158,7 +158,7 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     # base
     "latest_price": lambda t, s: pins.latest_price(t),
     "unit_price": lambda t, s: quality.unit_prices(t),
-    "change_only": lambda t, s: t.price_observations,
+    "change_only": lambda t, s: s.price_observations(),
     "price_intervals": lambda t, s: index.price_intervals(t),
     "calendar": lambda t, s: index.calendar(t),
     # pins

@@ -1,5 +1,8 @@
 """The domain tables, derived from a star schema of orders, line items and events.
 
+Histories and catalogues are ingested once per application: derived, written as Parquet to
+the shared folder, and read from there by every query, as a collector's tables would be.
+
 Every rule is integer arithmetic on the given columns, so the same table can be stated
 in any SQL dialect; `checks/oracle_base.py` does that.
 """
@@ -16,6 +19,9 @@ from shelfindex.functions.prices import basis_of, unit_price
 from shelfindex.operators.changes import change_only
 from shelfindex.operators.ordered import slice_width
 from shelfindex.plans import quality
+from shelfindex.session import scratch_path
+from shelfindex.sources.schemas import TABLES
+from shelfindex.sources.sinks import write_table
 from shelfindex.sources.tables import Tables, conform
 
 # Fixed values of the derived data set.
@@ -67,6 +73,8 @@ INPUT = {
         event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string
     """,
 }
+# Tables written out on first use; the others are cheap projections of an input table.
+INGESTED = {"price_observations", "products", "gov_series", "gov_prices", "baselines"}
 CATALOGUE_SKUS = 200
 PINNED_ITEMS = 20
 IDS_PER_DAY = 200_000 * 10 * 20_000 * 1_000
@@ -99,6 +107,7 @@ class StarSource:
         self.folder = folder
         self._width: int | None = None
         self._sized = False
+        self._root: str | None = None
         self._derived: dict[str, DataFrame] = {}
 
     def tables(self) -> Tables:
@@ -111,11 +120,18 @@ class StarSource:
         )
 
     def table(self, name: str) -> DataFrame:
-        """A domain table; built once, since building an expression tree is not free."""
+        """A domain table, derived and, where it takes work to derive, written out once."""
         if name not in self._derived:
-            self._derived[name] = conform(getattr(self, name)(), name)
+            derived = conform(getattr(self, name)(), name)
+            self._derived[name] = self._ingested(derived, name) if name in INGESTED else derived
         return self._derived[name]
 
+    def _ingested(self, derived: DataFrame, name: str) -> DataFrame:
+        if self._root is None:
+            self._root = scratch_path(self.spark, "star")
+        write_table(derived, self._root, name)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self._root}/{name}")
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT[name]).parquet(f"{self.folder}/{name}.parquet")
 
@@ -452,7 +468,7 @@ class StarSource:
         )
 
     def baselines(self) -> DataFrame:
-        before = self.price_observations().filter(F.col("observed_at") < F.lit(HISTORY_MIDDLE))
+        before = self.table("price_observations").filter(F.col("observed_at") < F.lit(HISTORY_MIDDLE))
         return quality.build_baselines(before)
 
 
