@@ -137,8 +137,14 @@ def judged(pins: DataFrame) -> DataFrame:
 
 
 def index_pins(tables: Tables, country: str | None = None) -> DataFrame:
-    """The pins of the published index with verdicts; missed pulls do not matter here."""
-    return judged(priced(tables, pinned(tables, country=country)))
+    """The pins of the published index with verdicts; missed pulls do not matter here.
+
+    One row per item and store, judged once and kept: history, calendar and store lines all
+    start from the same verdicts.
+    """
+    return tables.keep(
+        f"index_pins-{country}", lambda: judged(priced(tables, pinned(tables, country=country)))
+    )
 
 
 def pins_core(tables: Tables) -> DataFrame:
@@ -146,7 +152,7 @@ def pins_core(tables: Tables) -> DataFrame:
 
 
 def pin_medians(tables: Tables) -> DataFrame:
-    return medians(priced(tables, pinned(tables)))
+    return medians(index_pins(tables).drop("median_unit_price", "priced"))
 
 
 def pin_verdicts(tables: Tables) -> DataFrame:

@@ -17,6 +17,20 @@ SETTINGS = {
 }
 
 
+# Shuffle sizing: rows a reduce task should see, and the most tasks a shuffle is cut into.
+ROWS_PER_PARTITION = 2_000_000
+MOST_PARTITIONS = 50_000
+
+
+def size_shuffles(spark: SparkSession, rows: int) -> None:
+    """Start shuffles with enough partitions for an input of `rows`; AQE merges small ones."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MOST_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
+    spark.conf.set(
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, wanted))
+    )
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in SETTINGS.items():

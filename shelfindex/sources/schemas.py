@@ -57,6 +57,11 @@ GOV_PRICES = """
     price_min decimal(12,2), price_max decimal(12,2)
 """
 
+GOV_DOCUMENTS = """
+    source string, url string, title string, period_start date, period_end date,
+    fetched_at timestamp, rows int
+"""
+
 TABLES = {
     "stores": STORES,
     "products": PRODUCTS,
@@ -70,4 +75,5 @@ TABLES = {
     "alerts": ALERTS,
     "gov_series": GOV_SERIES,
     "gov_prices": GOV_PRICES,
+    "gov_documents": GOV_DOCUMENTS,
 }

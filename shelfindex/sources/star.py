@@ -19,7 +19,7 @@ from shelfindex.functions.prices import basis_of, unit_price
 from shelfindex.operators.changes import change_only
 from shelfindex.operators.ordered import slice_width
 from shelfindex.plans import quality
-from shelfindex.session import scratch_path
+from shelfindex.session import checkpointed, scratch_path, size_shuffles
 from shelfindex.sources.schemas import TABLES
 from shelfindex.sources.sinks import write_table
 from shelfindex.sources.tables import Tables, conform
@@ -108,6 +108,7 @@ class StarSource:
         self._width: int | None = None
         self._sized = False
         self._root: str | None = None
+        self._bulletins: DataFrame | None = None
         self._derived: dict[str, DataFrame] = {}
 
     def tables(self) -> Tables:
@@ -140,6 +141,7 @@ class StarSource:
         if not self._sized:
             lineitem = self.raw("lineitem")
             rows = lineitem.count()
+            size_shuffles(self.spark, rows)
             if slice_width(rows, 0, 1) is not None:
                 day = F.unix_date(F.to_date("l_shipdate"))
                 low, high = lineitem.agg(F.min(day), F.max(day)).first()
@@ -373,7 +375,12 @@ class StarSource:
         )
 
     def bulletins(self) -> DataFrame:
-        """One row per series and period, with the series attributes alongside."""
+        """One row per series and period with the series attributes, computed once."""
+        if self._bulletins is None:
+            self._bulletins = checkpointed(self._grouped_bulletins())
+        return self._bulletins
+
+    def _grouped_bulletins(self) -> DataFrame:
         src, com, srp = F.col("src"), F.col("com"), F.col("srp")
         keyed = (
             self.raw("orders")
@@ -467,6 +474,21 @@ class StarSource:
             "series_id", "period_start", "period_end", "price_min", "price_max"
         )
 
+    def gov_documents(self) -> DataFrame:
+        """The bulletins read so far: one per source and period."""
+        source, start = F.col("source"), F.col("period_start")
+        url = F.concat_ws("/", F.lit("https://bulletins.example"), source, start.cast("string"))
+        return (
+            self.bulletins()
+            .groupBy("source", "period_start", "period_end")
+            .agg(F.count("*").cast("int").alias("rows"))
+            .select(
+                "source", url.alias("url"), F.concat_ws(" ", source, start.cast("string"))
+                .alias("title"), "period_start", "period_end",
+                F.col("period_end").cast("timestamp").alias("fetched_at"), "rows",
+            )
+        )
+
     def baselines(self) -> DataFrame:
         before = self.table("price_observations").filter(F.col("observed_at") < F.lit(HISTORY_MIDDLE))
         return quality.build_baselines(before)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfindex.operators.ordered import slice_width
-from shelfindex.session import checkpointed
+from shelfindex.session import checkpointed, size_shuffles
 from shelfindex.sources.schemas import TABLES
 
 # Currency codes used where neither the observation nor the store carries one.
@@ -120,6 +120,7 @@ class Tables:
                 raise ValueError("no observations: give as_of explicitly")
             as_of = as_of or latest
             options = {"id_slice": slice_width(rows, low or 0, high or 0), **options}
+            size_shuffles(spark, rows)
         return cls(spark, load, as_of, **options)
 
 

@@ -6,6 +6,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, connect
 from shelfindex.plans import bulletins, catalog
 from shelfindex.plans.catalog import Search
+from shelfindex.session import MOST_PARTITIONS, size_shuffles
 from shelfindex.sources.sinks import as_documents, write_documents, write_table
 from shelfindex.sources.star import StarSource
 from shelfindex.sources.tables import Tables
@@ -25,6 +26,22 @@ def test_against_sql(spark, connection, name):
     assert problem is None
 
 
+def test_documents_cover_every_bulletin(spark):
+    tables = StarSource(spark, FOLDER).tables()
+    documents = tables.gov_documents
+    assert documents.count() == documents.select("source", "url").distinct().count()
+    assert documents.agg({"rows": "sum"}).first()[0] == tables.gov_prices.count()
+
+
+def test_shuffles_grow_with_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows, expected in ((10, least), (10**9, 500), (10**13, MOST_PARTITIONS)):
+        size_shuffles(spark, rows)
+        assert int(spark.conf.get(key)) == expected
+    size_shuffles(spark, 1)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
