@@ -305,3 +305,15 @@ def test_schema_rules(tiny):
                             price(3, "a", "m", 1, 1), price(4, "a", "m", 1, -1)])
     row = quality.dq_schema(tables).first()
     assert (row.records, row.rejected, row.bad_price, row.bad_unit) == (4, 3, 2, 0)
+
+
+def test_restricted_history(tiny, spark):
+    tables = tiny(price_observations=[price(i, "a", f"k{i % 4}", 30, i) for i in range(1, 13)])
+    among = spark.createDataFrame([("a", "k1"), ("a", "k2")], "store_id string, product_key string")
+    for rows in (None, 2, 10**9):
+        stats = catalog.product_stats(tables, among, rows).collect()
+        assert {(r.product_key, float(r.low90), r.median30) for r in stats} == {
+            ("k1", 1.0, 5.0), ("k2", 2.0, 6.0)}
+        products = among.withColumn("name", F.lit("x"))
+        latest = {r.product_key: r.price for r in catalog.with_latest(products, tables, rows).collect()}
+        assert latest == {"k1": 9, "k2": 10}
