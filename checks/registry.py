@@ -12,7 +12,7 @@ from shelfindex.functions.cursor import iso
 from shelfindex.plans import basket, bulletins, catalog, health, index, pins, quality, ranking
 from shelfindex.plans.catalog import Search
 from shelfindex.session import configure, scratch_path
-from shelfindex.sources.star import HISTORY_MIDDLE, StarSource, StarStream, _product_key
+from shelfindex.sources.star import HISTORY_MIDDLE, StarSource, StarStream, product_key_of
 from shelfindex.sources.tables import Tables
 from shelfindex.streaming import events as streams
 from shelfindex.streaming.history import PriceHistory
@@ -96,7 +96,7 @@ def rails_text(t: Tables) -> DataFrame:
 
 def readings(source: StarSource) -> DataFrame:
     """Every reading with its product key, as a collector would deliver them."""
-    return source.readings().withColumn("product_key", _product_key(F.col("sku"))).drop("sku")
+    return source.readings().withColumn("product_key", product_key_of(F.col("sku"))).drop("sku")
 
 
 def page_two_by_price(t: Tables) -> DataFrame:

@@ -263,7 +263,7 @@ def srp_reference(tables: Tables, q: str) -> DataFrame:
 def over_srp(tables: Tables, params: Search) -> DataFrame:
     """Hits priced over the suggested price of the same brand and size.
 
-    The at most three reference rows travel as one array; the first whose brand word and
+    The at most three suggested prices travel as one array; the first whose brand word and
     compact size both occur in the name decides.
     """
     order = F.struct(F.col("price").alias("at"), "category", "product", "size",
