@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfindex.llm import ann, exact_search, packing, sharding, warc
+from shelfindex.llm import ann, exact_search, jaccard, packing, quality, sharding, toxicity, warc
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 NEIGHBOURS, PRODUCTS, SHARDS = 5, 10, 8
@@ -23,6 +23,15 @@ def op1_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest_neighbours(embeddings, F.col("vec_id") % 50 == 0, NEIGHBOURS)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.joined(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "links", "group_id", "keep")
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_vector_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), SHARDS)
 
@@ -37,6 +46,10 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary)
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Records of pages as read back; the archives hold no gaps unless they were damaged."""
     found = warc.archived(table(spark, folder, "pages"))
@@ -47,13 +60,59 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_vector_bin_packing": op4_vector_bin_packing,
     "op5_vector_approximation": op5_vector_approximation,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id,
+        [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') IF w <> '']
+            AS words
+    FROM documents
+),
+shingled AS (
+    SELECT doc_id, list_sort(list_distinct([
+        array_to_string(words[i : i + {jaccard.WORDS - 1}], ' ')
+        FOR i IN range(1, greatest(2, len(words) - {jaccard.WORDS - 2}))])) AS grams
+    FROM worded WHERE len(words) > 0
+),
+classed AS (
+    SELECT doc_id, grams, min(doc_id) OVER (PARTITION BY grams) AS class_id FROM shingled
+),
+spread AS (
+    SELECT class_id, len(grams) AS n, unnest(grams) AS gram FROM classed WHERE doc_id = class_id
+),
+linked AS (
+    SELECT a.class_id AS a, b.class_id AS b
+    FROM spread a JOIN spread b ON a.gram = b.gram AND a.class_id <> b.class_id
+    GROUP BY a.class_id, b.class_id, a.n, b.n
+    HAVING count(*) >= {jaccard.THRESHOLD} * (a.n + b.n - count(*)) - 1e-9
+),
+reach AS (
+    SELECT a, b FROM linked
+    UNION
+    SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a
+),
+grouped AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS links FROM linked GROUP BY a),
+described AS (
+    SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id
+    FROM documents d LEFT JOIN classed c ON d.doc_id = c.doc_id
+)
+SELECT doc_id, class_id, coalesce(links, 0)::BIGINT AS links,
+    least(class_id, coalesce(least, class_id)) AS group_id,
+    doc_id = least(class_id, coalesce(least, class_id)) AS keep
+FROM described
+LEFT JOIN counted ON counted.a = class_id
+LEFT JOIN grouped ON grouped.a = class_id
+""",
     "op5_vector_approximation": f"""
 WITH whole AS (
     SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE))::BIGINT FOR x IN embedding] AS v
