@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfindex.llm.common import kept
@@ -251,19 +251,15 @@ def blocked(members: DataFrame) -> DataFrame:
     )
 
 
-def numbered_documents(documents: DataFrame) -> DataFrame:
-    """doc_id and text; rows without an id get one from their text, below all others."""
-    own = -F.lit(2**62) - F.abs(F.xxhash64(F.coalesce("text", F.lit(""))) % 2**61)
-    return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"),
-        "text",
-        F.col("doc_id").isNull().alias("unnamed"),
-    )
+def own_id() -> Column:
+    """doc_id; rows without one get an id from their text, below all others."""
+    drawn = -F.lit(2**62) - F.abs(F.xxhash64(F.coalesce("text", F.lit(""))) % 2**61)
+    return F.coalesce(F.col("doc_id").cast("long"), drawn)
 
 
 def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, links, group_id and keep of every document."""
-    named = numbered_documents(documents)
+    named = documents.select(own_id().alias("doc_id"), "text")
     sketches = kept(
         word_hashes(named).mapInPandas(sketcher(*banding(threshold, recall)), SETS), "sketches"
     )
@@ -313,3 +309,17 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
         )
         .withColumn("keep", F.col("doc_id") == F.col("group_id"))
     )
+
+
+def first_of_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each group, with its columns as they came."""
+    kept_ids = joined(documents, threshold).filter("keep").select(F.col("doc_id").alias("kept_id"))
+    rows = documents.select(
+        F.struct(*[F.col(c) for c in documents.columns]).alias("row"), own_id().alias("own")
+    )
+    return (
+        rows.join(kept_ids.distinct(), F.col("own") == F.col("kept_id"), "left_semi")
+        .groupBy("own")
+        .agg(F.first("row").alias("row"))
+        .select("row.*")
+    )

@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfindex.llm import ann, exact_search, jaccard, packing, quality, sharding, toxicity, warc
+from shelfindex.llm import (
+    ann, exact_search, jaccard, mixing, packing, quality, sharding, token_counts, toxicity, warc,
+)
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+MIX = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 NEIGHBOURS, PRODUCTS, SHARDS = 5, 10, 8
 
 
@@ -46,6 +50,15 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary)
 
 
+def op7_soft_membership_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.rated(table(spark, folder, "documents"), MIX)
+
+
+def op8_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(PIECE_VOCABULARY)
+    return token_counts.counted(table(spark, folder, "documents"), vocabulary)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -65,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_bin_packing": op4_vector_bin_packing,
     "op5_vector_approximation": op5_vector_approximation,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_soft_membership_mixing": op7_soft_membership_mixing,
+    "op8_trie_token_counts": op8_trie_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }

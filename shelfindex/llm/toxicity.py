@@ -2,7 +2,7 @@
 
 Terms of a text are its lower-case words and the beginnings of longer words, each as a 32-bit
 hash, present or absent. From at most `SAMPLE` labelled documents the `TERMS` terms whose presence
-tells most about the label (likelihood ratio) are taken; they are counted by Spark over the whole
+tells most about the label (likelihood ratio, `LEAST_RATIO` at least) are taken; they are counted by Spark over the whole
 sample. The machine learns a weight for each term and a short vector for each, whose inner
 products are weights of pairs: an insult that is harmless alone and toxic beside a mention of a
 group gets its weight as a pair, which additive weights cannot give.
@@ -31,7 +31,9 @@ SAMPLE = 20_000  # most labelled documents that the machine is fitted on
 TERMS = 4_096
 LEAST_DOCUMENTS = 5  # of the sample that a term must occur in
 FACTORS = 4
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 2e-4
+LEAST_RATIO = 12.0  # of the likelihoods' logarithms, so that chance seldom makes a term
+EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.03, 1e-5
+DROP = 0.3  # of a document's terms at each visit: no term is learned only beside others
 STARTS = (4, 5, 6)
 MODULUS, HELD_OUT, CUT = 4, 2, 0.3
 WORD = re.compile(r"\w+")
@@ -95,6 +97,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 5):
         for batch in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // BATCH)):
             owner = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
             flat = np.concatenate([rows[i] for i in batch]).astype(int)
+            stays = draw.random(len(flat)) >= DROP
+            owner, flat = owner[stays], flat[stays]
             weights, vectors = values[1][flat], values[2][flat]
             total = np.zeros((len(batch), FACTORS))
             np.add.at(total, owner, vectors)
@@ -135,7 +139,12 @@ def telling(sample: DataFrame, positive: int, total: int) -> DataFrame:
         (total - positive) - (n - k), (total - n) * (1 - share)
     )
     ratio = F.when(n < total, inside + outside).otherwise(F.lit(0.0))
-    return counts.select("term", ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    return (
+        counts.select("term", ratio.alias("ratio"))
+        .filter(F.col("ratio") >= LEAST_RATIO)
+        .orderBy(F.desc("ratio"), "term")
+        .limit(TERMS)
+    )
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Machine:
@@ -151,9 +160,13 @@ def learn(documents: DataFrame, labels: DataFrame) -> Machine:
     none = np.array([], dtype=np.int64)
     if not 0 < positive < total:
         share = np.clip(positive / total if total else 0.0, 1e-9, 1 - 1e-9)
-        return Machine(float(np.log(share / (1 - share))), none, np.zeros(0), np.zeros((0, FACTORS)))
-    hashes = np.sort([row["term"] for row in telling(sample, positive, total).collect()])
-    wanted = F.broadcast(sample.sparkSession.createDataFrame([(int(h),) for h in hashes], "term long"))
+        bias = float(np.log(share / (1 - share)))
+        return Machine(bias, none, np.zeros(0), np.zeros((0, FACTORS)))
+    told = [row["term"] for row in telling(sample, positive, total).collect()]
+    hashes = np.sort(np.array(told, dtype=np.int64))
+    wanted = F.broadcast(
+        sample.sparkSession.createDataFrame([(int(h),) for h in hashes], "term long")
+    )
     known = (
         sample.select("doc_id", F.explode("terms").alias("term"))
         .join(wanted, "term")
@@ -167,7 +180,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> Machine:
     )
     found = [np.searchsorted(hashes, row["terms"] or []) for row in rows]
     target = np.array([row["label"] for row in rows])
-    return Machine(*(lambda b, w, v: (b, hashes, w, v))(*fit(found, target, len(hashes))))
+    bias, weights, vectors = fit(found, target, len(hashes))
+    return Machine(bias, hashes, weights, vectors)
 
 
 def scorer(machine: Machine):
