@@ -1,6 +1,7 @@
 """The domain tables of `shelfindex.sources.star`, stated as DuckDB common table expressions."""
 
 AS_OF = "DATE '2001-11-04'"
+INCIDENT = "inc000000000017"
 NOW = "TIMESTAMP '2001-11-04 00:00:00'"
 
 BASE = """
@@ -16,30 +17,36 @@ default_currency AS (
   SELECT r_name AS country, upper(substr(r_name, 1, 3)) AS code FROM region
 ),
 readings AS (
-  SELECT ((((l_shipdate::DATE - DATE '1970-01-01')::BIGINT * 200000 + l_orderkey) * 10
-           + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey AS id,
-         'st' || s_nationkey AS store_id, l_partkey % 200 AS sku, l_shipdate AS observed_at,
+  SELECT ((((l_shipdate::DATE - DATE '1970-01-01')::HUGEINT * 1000000000000 + l_orderkey) * 100
+           + l_linenumber) * 10000000000 + l_partkey) * 100000000 + l_suppkey AS id,
+         'st' || s_nationkey AS store_id, s_nationkey AS n, l_partkey // 10 AS sku,
+         l_shipdate AS observed_at,
          (((2 * round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT)
             + 100 * l_quantity::BIGINT) // (200 * l_quantity::BIGINT))::DECIMAL(12,0) * 0.01)
            ::DECIMAL(12,4) AS price
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ),
+product_lines AS (
+  SELECT p_partkey // 10 AS sku, arg_min(p_name, p_partkey) AS p_name,
+         arg_min(p_type, p_partkey) AS p_type, arg_min(p_size, p_partkey) AS p_size
+  FROM part GROUP BY p_partkey // 10
+),
 sizes AS (
-  SELECT p_partkey AS sku, p_size, uom AS size_base_uom,
-         CASE WHEN p_partkey % 41 = 0 THEN NULL WHEN uom = 'count' THEN p_size
+  SELECT sku, p_size, uom AS size_base_uom,
+         CASE WHEN sku % 41 = 0 THEN NULL WHEN uom = 'count' THEN p_size
               ELSE p_size * 100 END::DOUBLE AS size_quantity,
          p_name || ' ' || p_type || ' ' || p_size AS name,
-         CASE WHEN p_partkey % 41 <> 0 THEN p_size || ' ' || uom END AS unit
-  FROM (SELECT *, ['g','ml','count'][((p_partkey % 20) % 3
-          + CASE WHEN p_partkey % 37 = 0 THEN 1 ELSE 0 END) % 3 + 1] AS uom
-        FROM part WHERE p_partkey < 200)
+         CASE WHEN sku % 41 <> 0 THEN p_size || ' ' || uom END AS unit
+  FROM (SELECT *, ['g','ml','count'][((sku % 20) % 3
+          + CASE WHEN sku % 37 = 0 THEN 1 ELSE 0 END) % 3 + 1] AS uom
+        FROM product_lines)
 ),
 seen AS (
   SELECT *, lag(price) OVER (PARTITION BY store_id, sku ORDER BY id) AS previous_price
   FROM readings
 ),
 obs AS (
-  SELECT id, store_id, 'k' || lpad(sku::VARCHAR, 3, '0') AS product_key, observed_at, price,
+  SELECT id, store_id, printf('k%03d', sku) AS product_key, observed_at, price,
          currency,
          p_size, size_base_uom, size_quantity, previous_price
   FROM seen JOIN sizes USING (sku) JOIN stores USING (store_id)
@@ -59,8 +66,8 @@ price_observations AS (
   FROM obs
 ),
 products AS (
-  SELECT store_id, 'k' || lpad(sku::VARCHAR, 3, '0') AS product_key, name,
-         'https://shop.example/' || store_id || '/k' || lpad(sku::VARCHAR, 3, '0') AS url, unit,
+  SELECT store_id, printf('k%03d', sku) AS product_key, name,
+         'https://shop.example/' || store_id || printf('/k%03d', sku) AS url, unit,
          size_quantity, size_base_uom,
          CASE WHEN sku % 5 = 0 THEN 'multipack' WHEN sku % 7 = 0 THEN 'range' ELSE 'plain' END
            AS size_form,
@@ -69,38 +76,33 @@ products AS (
         FROM readings GROUP BY ALL) JOIN sizes USING (sku)
 ),
 items AS (
-  SELECT 'item' || CASE WHEN p_partkey < 10 THEN '0' ELSE '' END || p_partkey AS key,
-         p_name AS label,
-         CASE WHEN p_partkey < 15 THEN 'core' WHEN p_partkey < 18 THEN 'stretch'
-              ELSE 'registered' END AS tier,
-         ['g','ml','count'][p_partkey % 3 + 1] AS normal_unit,
-         CASE WHEN p_partkey % 4 <> 3 THEN
+  SELECT printf('item%02d', sku) AS key, p_name AS label,
+         CASE WHEN sku < 15 THEN 'core' WHEN sku < 18 THEN 'stretch' ELSE 'registered' END AS tier,
+         ['g','ml','count'][sku % 3 + 1] AS normal_unit,
+         CASE WHEN sku % 4 <> 3 THEN
            '{"AFRICA": "1 pack", "ASIA": "3 pack", "MIDDLE EAST": "5 pack"}' END AS target_size,
-         CASE WHEN p_partkey < 15 OR p_partkey % 53 = 20 THEN 1 + p_partkey % 5 END::DOUBLE
-           AS index_quantity,
-         CASE WHEN p_partkey < 15 THEN ['kg','l','count'][p_partkey % 3 + 1]
-              WHEN p_partkey % 53 = 20
-                THEN ['kg','l','count'][(p_partkey + p_partkey % 2) % 3 + 1] END AS index_uom
-  FROM part
+         CASE WHEN sku < 15 OR sku % 53 = 20 THEN 1 + sku % 5 END::DOUBLE AS index_quantity,
+         CASE WHEN sku < 15 THEN ['kg','l','count'][sku % 3 + 1]
+              WHEN sku % 53 = 20 THEN ['kg','l','count'][(sku + sku % 2) % 3 + 1] END AS index_uom
+  FROM product_lines
 ),
+shown_lines AS (SELECT DISTINCT sku AS i, n FROM readings),
 basket_map AS (
-  SELECT 'item' || lpad(i::VARCHAR, 2, '0') AS item_key, 'st' || n_nationkey AS store_id,
-         CASE WHEN (i + n_nationkey) % 11 <> 0
-              THEN 'k' || lpad((i + 20 * (n_nationkey % 10))::VARCHAR, 3, '0') END AS product_key,
-         CASE WHEN (i + n_nationkey) % 11 = 0 THEN 'not_stocked'
-              WHEN (i + n_nationkey) % 3 = 0 THEN 'curated' ELSE 'verified' END AS status,
-         CASE WHEN (i + n_nationkey) % 4 = 0 THEN i || ' units' END AS target_size,
-         CASE WHEN (i * n_nationkey) % 13 = 1 THEN 2 ELSE 0 END AS missed_runs
-  FROM nation, range(20) r(i)
+  SELECT printf('item%02d', i) AS item_key, 'st' || n AS store_id,
+         CASE WHEN (i + n) % 11 <> 0 THEN printf('k%03d', i) END AS product_key,
+         CASE WHEN (i + n) % 11 = 0 THEN 'not_stocked'
+              WHEN (i + n) % 3 = 0 THEN 'curated' ELSE 'verified' END AS status,
+         CASE WHEN (i + n) % 4 = 0 THEN i || ' units' END AS target_size,
+         CASE WHEN (i * n) % 13 = 1 THEN 2 ELSE 0 END AS missed_runs
+  FROM shown_lines
 ),
 pin_gaps AS (
-  SELECT 'st' || n_nationkey AS store_id,
-         'k' || lpad((i + 20 * (n_nationkey % 10))::VARCHAR, 3, '0') AS product_key,
-         DATE '1997-01-01' + ((31 * i + 17 * n_nationkey) % 900)::INTEGER AS from_day,
-         CASE WHEN (i + n_nationkey) % 9 <> 0 THEN
-           DATE '1997-01-01' + ((31 * i + 17 * n_nationkey) % 900)::INTEGER
-             + (20 + (i + n_nationkey) % 60)::INTEGER END AS to_day
-  FROM nation, range(20) r(i) WHERE (7 * i + n_nationkey) % 5 = 0
+  SELECT 'st' || n AS store_id, printf('k%03d', i) AS product_key,
+         DATE '1997-01-01' + ((31 * i + 17 * n) % 900)::INTEGER AS from_day,
+         CASE WHEN (i + n) % 9 <> 0 THEN
+           DATE '1997-01-01' + ((31 * i + 17 * n) % 900)::INTEGER
+             + (20 + (i + n) % 60)::INTEGER END AS to_day
+  FROM shown_lines
 ),
 ev AS (SELECT *, (props ->> '$.k')::BIGINT AS k FROM events),
 runs AS (
@@ -120,13 +122,13 @@ incidents AS (
          CASE WHEN event_id % 4 <> 0 THEN opened + (k % 30)::INTEGER END::TIMESTAMP AS resolved_at
   FROM (SELECT *, DATE '1995-01-01' + ((7 * event_id) % 2500)::INTEGER AS opened,
                ['schema','nulls','rowcount','drift','pull_failed','mystery'][k % 6 + 1] AS kind
-        FROM ev WHERE event_type = 'error' AND event_id % 5 = 0)
+        FROM ev WHERE event_type = 'error')
 ),
 alerts AS (
   SELECT 'al' || lpad(event_id::VARCHAR, 12, '0') AS id,
          ['price_drop','escalation','unknown'][k % 3 + 1] AS kind,
          CASE WHEN k % 2 = 0 THEN 'email' ELSE 'chat' END AS channel, ts AS sent_at
-  FROM ev WHERE event_type = 'purchase' AND event_id % 7 = 0
+  FROM ev WHERE event_type = 'purchase'
 ),
 orders_keyed AS (
   SELECT src, com, srp,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks.oracle_base import INCIDENT
 from shelfindex.functions.cursor import iso
 from shelfindex.plans import basket, bulletins, catalog, health, index, pins, quality, ranking
 from shelfindex.plans.catalog import Search
@@ -36,7 +37,8 @@ def shown(df: DataFrame) -> DataFrame:
         column = F.col(field.name)
         kind = field.dataType
         if isinstance(kind, T.DecimalType):
-            column = column.cast("double")
+            whole = kind.scale == 0 and kind.precision == 38
+            column = column.cast("string" if whole else "double")
         elif isinstance(kind, T.DoubleType):
             column = F.round(column, 8)
         elif isinstance(kind, T.DateType):
@@ -112,6 +114,13 @@ def feed_page_two(t: Tables) -> DataFrame:
     return health.feed(t, 50).limit(0) if cursor is None else health.feed(t, 50, cursor)
 
 
+def incidents_page_two(t: Tables) -> DataFrame:
+    cursor = health.incident_cursor(t, "open", 50)
+    if cursor is None:
+        return health.incidents_page(t, "open", 50).limit(0)
+    return health.incidents_page(t, "open", 50, cursor)
+
+
 def gaps_text(t: Tables) -> DataFrame:
     return index.index_gaps(t).withColumn("incident_id", F.coalesce("incident_id", F.lit("")))
 
@@ -188,6 +197,7 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     "receipt": lambda t, s: basket.receipt(t),
     # rankings
     "store_ranking": lambda t, s: ranking.store_ranking(cart(t)),
+    "store_item_ratios": lambda t, s: ranking.store_item_ratios(cart(t)),
     "store_ignored": lambda t, s: ranking.store_ignored(cart(t)),
     "store_order": lambda t, s: ranking.store_order(cart(t)),
     "basket_spread": lambda t, s: ranking.basket_spread(cart(t)),
@@ -255,6 +265,8 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     "feed": lambda t, s: health.feed(t, 50),
     "feed_page2": lambda t, s: feed_page_two(t),
     "incidents_page": lambda t, s: health.incidents_page(t, state="open", limit=50),
+    "incidents_page2": lambda t, s: incidents_page_two(t),
+    "incident_by_id": lambda t, s: health.incident(t, INCIDENT),
     "incident_summaries": lambda t, s: health.incident_summaries(t),
     # quality
     "dq_schema": lambda t, s: quality.dq_schema(t),

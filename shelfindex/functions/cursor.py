@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -54,9 +55,16 @@ def decode_search(raw: str | None, order: str) -> dict | None:
     value = fields.get("v", False)
     if value is not None and not isinstance(value, str):
         return None
+    if order != "browse" and value is not None and not _is_number(value):
+        return None
     return {f: fields[f] for f in "ovsk"}
 
 
+def _is_number(text: str) -> bool:
+    """A plain decimal number that a sort value can be compared with."""
+    return len(text) <= 40 and re.fullmatch(r"-?[0-9]{1,20}(\.[0-9]*)?(E-?[0-9]{1,2})?", text) is not None
+
+
 def iso(at: Column) -> Column:
     """UTC text with microseconds, so that cursors never skip rows of one millisecond."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -33,13 +33,7 @@ SUMMARIES = {
     "freshness": "Expected delivery did not arrive",
     "pull_failed": "The pull returned nothing usable",
     "coverage_drop": "Too few of the store's basket staples came back in the pull",
-    "studio_failed": "Scraper Studio did not return usable rows",
-    "studio_error": "Scraper Studio did not return usable rows",
-    "studio_broken": "Scraper Studio returned rows, but none matched the output contract",
-    "studio_timeout": "Scraper Studio did not finish inside the deadline",
-    "studio_empty": "Scraper Studio ran and returned nothing at all",
     "sitemap_error": "No URLs to submit: catalogue discovery came back empty",
-    "provisioning_error": "No Studio collector exists for this store yet",
 }
 
 EVIDENCE = """

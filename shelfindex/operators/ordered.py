@@ -9,6 +9,7 @@ slice boundary.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,9 @@ from pyspark.sql import Window as W
 TARGET_SLICE_ROWS = 2_000_000
 
 
-def slice_width(rows: int, lowest: int, highest: int, target: int = TARGET_SLICE_ROWS):
-    """Id span holding about `target` rows, or None when everything fits one slice."""
-    if rows <= target:
-        return None
-    return max(1, (highest - lowest + 1) * target // rows)
+def slice_width(rows: int, lowest: int, highest: int, target: int = TARGET_SLICE_ROWS) -> int:
+    """Id span holding about `target` rows if ids are dense."""
+    return max(1, int(highest - lowest + 1) * target // max(1, rows))
 
 
 def with_neighbour(
@@ -34,18 +33,15 @@ def with_neighbour(
 ) -> DataFrame:
     """Add, per key, the given columns of the previous (or next) row by `order`.
 
-    `columns` maps new names to source columns. `width` is the id span of a slice.
+    `columns` maps new names to source columns. `width` is the id span of a slice; None puts a
+    key's rows into one slice, for histories known to be short.
     """
     step = F.lead if ahead else F.lag
     neighbour = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
 
-    if width is None:
-        found = step(neighbour).over(W.partitionBy(*keys).orderBy(order))
-        return df.withColumn("_near", found).select(
-            *df.columns, *[F.col("_near")[name].alias(name) for name in columns]
-        )
-
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+    span = F.lit(Decimal(1 if width is None else width)).cast("decimal(38,0)")
+    part = F.lit(0) if width is None else F.floor(F.col(order).cast("decimal(38,0)") / span)
+    sliced = df.withColumn("_slice", part)
     near = sliced.withColumn(
         "_near", step(neighbour).over(W.partitionBy(*keys, "_slice").orderBy(order))
     )

@@ -37,6 +37,7 @@ def fetched(page: DataFrame, rows: int) -> DataFrame:
 class Page:
     items: list[Row]
     next_cursor: str | None
+    reference: tuple[Row, ...] = ()  # official prices shown beside a first page
 
 
 def take_page(probed: DataFrame, limit: int, to_cursor) -> Page:

@@ -75,14 +75,18 @@ def fuel_cities(tables: Tables, region: str, product: str) -> DataFrame:
 
 
 def fuel_range(tables: Tables, region: str, product: str) -> DataFrame:
-    """The region's lowest and highest price in the latest week, and the week itself."""
-    return (
-        fuel_prices(tables, region, product)
-        .groupBy("period_start", "period_end")
-        .agg(
-            F.least(F.min("low"), F.min("high")).alias("low"),
-            F.greatest(F.max("low"), F.max("high")).alias("high"),
-        )
+    """The region's latest week, and the product's lowest and highest price in it.
+
+    The week ends with the last of its series. A product absent that week has no prices, but the
+    week is there.
+    """
+    week = latest_period(series_prices(tables, PUMP, region=region))
+    own = F.col("commodity") == product
+    low, high = F.when(own, F.col("price_min")), F.when(own, F.col("price_max"))
+    return week.groupBy("period_start").agg(
+        F.max("period_end").alias("period_end"),
+        F.least(F.min(low), F.min(high)).alias("low"),
+        F.greatest(F.max(low), F.max(high)).alias("high"),
     )
 
 
@@ -119,15 +123,16 @@ def fuel_history(tables: Tables, region: str, product: str) -> DataFrame:
 
 
 def lpg(tables: Tables) -> DataFrame:
-    """The cylinder price range per month."""
+    """The cylinder price range per month and series."""
     return series_prices(tables, LPG).select(
-        F.col("period_start").alias("month"), "unit", F.col("price_min").alias("low"),
-        F.col("price_max").alias("high"),
+        F.col("period_start").alias("month"), "unit", "series_id",
+        F.col("price_min").alias("low"), F.col("price_max").alias("high"),
     )
 
 
 def lpg_recent(tables: Tables) -> DataFrame:
-    return lpg(tables).orderBy(F.col("month").desc()).limit(RECENT_MONTHS)
+    """The latest rows, newest month first, then by unit and series."""
+    return lpg(tables).orderBy(F.col("month").desc(), "unit", "series_id").limit(RECENT_MONTHS)
 
 
 def market_day(tables: Tables, commodity: str | None = None) -> DataFrame:

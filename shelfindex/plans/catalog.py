@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -215,7 +215,11 @@ def search(tables: Tables, params: Search) -> DataFrame:
 
 
 def search_page(tables: Tables, params: Search) -> Page:
-    """The page of `search` as rows with the cursor of the next one."""
+    """The page of `search` as rows with the cursor of the next one.
+
+    The first page of a typed search carries the suggested prices for the same text, three rows
+    at most; later pages do not.
+    """
 
     def cursor_of(row) -> str:
         tail = params.order == "unit_price" and row["unit_price"] is None
@@ -224,7 +228,10 @@ def search_page(tables: Tables, params: Search) -> Page:
             {"o": params.order, "v": value, "s": row["store_id"], "k": row["product_key"]}
         )
 
-    return take_page(search(tables, params), params.limit, cursor_of)
+    page = take_page(search(tables, params), params.limit, cursor_of)
+    if not params.q or params.cursor:
+        return page
+    return replace(page, reference=tuple(srp_reference(tables, params.q).collect()))
 
 
 def search_cursor(tables: Tables, params: Search) -> str | None:

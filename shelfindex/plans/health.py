@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +76,10 @@ def run_events(runs: DataFrame) -> DataFrame:
 
 
 def incident_events(incidents: DataFrame) -> DataFrame:
-    """An incident's opening and, once it closed, its resolution: two events of one row."""
+    """An incident's opening and, once it closed, its resolution: two events of one row.
+
+    A change log has a column `phase`; each of its records is one change and gives one event.
+    """
     moments = F.array(
         F.struct(
             F.lit("opened").alias("phase"), F.col("opened_at").alias("at"),
@@ -89,7 +92,10 @@ def incident_events(incidents: DataFrame) -> DataFrame:
     )
     return (
         incidents.withColumn("moment", F.explode(moments))
-        .filter((F.col("moment.phase") == "opened") | F.col("moment.at").isNotNull())
+        .filter(
+            F.col("moment.phase") == F.col("phase") if "phase" in incidents.columns
+            else (F.col("moment.phase") == "opened") | F.col("moment.at").isNotNull()
+        )
         .select(
             F.lit("incident").alias("source"),
             F.concat_ws(":", "id", "moment.phase").alias("id"),
@@ -145,8 +151,9 @@ def named_events(events: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def _moment(text: str) -> Column:
-    """A cursor's time as a timestamp literal."""
-    return F.lit(datetime.fromisoformat(text).replace(tzinfo=None)).cast("timestamp")
+    """A cursor's time as a timestamp literal; a time without an offset is UTC."""
+    moment = datetime.fromisoformat(text)
+    return F.lit(moment if moment.tzinfo else moment.replace(tzinfo=UTC))
 
 
 def feed(tables: Tables, limit: int = 50, cursor: str | None = None) -> DataFrame:
@@ -213,6 +220,17 @@ def incidents_page(
     return described(probe(rows, [c.desc() for c in key], limit), tables.stores)
 
 
+def incident_cursor(tables: Tables, state: str | None, limit: int, cursor: str | None = None):
+    """The cursor of the page after this one, or None if it is the last."""
+    rows = incidents_page(tables, state, limit, cursor).select("opened_at", "id")
+    ordered = rows.withColumn("t", cursors.iso(F.col("opened_at"))).orderBy(
+        F.col("opened_at").desc(), F.col("id").desc()
+    )
+    return take_page(
+        ordered, limit, lambda row: cursors.encode({"t": row["t"], "s": "incident", "i": row["id"]})
+    ).next_cursor
+
+
 def incident(tables: Tables, incident_id: str) -> DataFrame:
     """One incident by id; empty when unknown."""
     return described(tables.incidents.filter(F.col("id") == incident_id), tables.stores)

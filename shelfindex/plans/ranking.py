@@ -100,6 +100,13 @@ def store_ranking(pins: DataFrame) -> DataFrame:
     )
 
 
+def store_item_ratios(pins: DataFrame) -> DataFrame:
+    """The price multiples that a ranked store's mean is made of, one per counted item."""
+    return staple_ratios(pins).filter("index_contributor").select(
+        "country", "store_id", "item_key", "ratio"
+    )
+
+
 def store_ignored(pins: DataFrame) -> DataFrame:
     return store_figures(pins).filter(~F.col("is_ranked")).select(
         "country", "store_id", "store_name", "reason", "mean_ratio"

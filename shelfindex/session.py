@@ -17,15 +17,13 @@ SETTINGS = {
 }
 
 
-# Shuffle sizing: rows a reduce task should see, and the most tasks a shuffle is cut into.
-ROWS_PER_PARTITION = 2_000_000
-MOST_PARTITIONS = 50_000
+ROWS_PER_PARTITION = 2_000_000  # that a reduce task should see
 
 
 def size_shuffles(spark: SparkSession, rows: int) -> None:
     """Start shuffles with enough partitions for an input of `rows`; AQE merges small ones."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MOST_PARTITIONS, -(-rows // ROWS_PER_PARTITION))
+    wanted = -(-rows // ROWS_PER_PARTITION)
     spark.conf.set(
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, wanted))
     )
@@ -58,10 +56,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as named by `spark.checkpoint.dir`.
 
-    Only a session that names none (a test, say) gets a temporary one.
+    Only a local session that names none (a test, say) gets a temporary one; on a cluster that
+    would be a folder of each machine's own, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shelfindex-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

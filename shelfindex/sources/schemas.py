@@ -19,7 +19,7 @@ RUNS = """
 """
 
 PRICE_OBSERVATIONS = """
-    id bigint, store_id string, product_key string, observed_at timestamp,
+    id decimal(38,0), store_id string, product_key string, observed_at timestamp,
     price decimal(12,4), currency string, unit_price decimal(16,6), unit_price_basis string,
     change string, previous_price decimal(12,4), delta decimal(12,4)
 """

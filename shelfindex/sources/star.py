@@ -75,9 +75,16 @@ INPUT = {
 }
 # Tables written out on first use; the others are cheap projections of an input table.
 INGESTED = {"price_observations", "products", "gov_series", "gov_prices", "baselines"}
-CATALOGUE_SKUS = 200
-PINNED_ITEMS = 20
-IDS_PER_DAY = 200_000 * 10 * 20_000 * 1_000
+PARTS_PER_LINE = 10
+# A reading's id: day, order (12 digits), line (2), part (10) and supplier (8).
+ID = "decimal(38,0)"
+PER_DAY = 10**32
+
+
+def placed(high: Column, low: Column, digits: int) -> Column:
+    """`high` followed by `low` in `digits` decimal digits."""
+    power = F.lit(10**digits).cast(ID)
+    return (high.cast(ID) * power + low.cast(ID)).cast(ID)
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -90,13 +97,17 @@ def _store_id(nation: Column) -> Column:
 
 
 def product_key_of(sku: Column) -> Column:
-    return F.concat(F.lit("k"), F.lpad(sku.cast("string"), 3, "0"))
+    return F.concat(F.lit("k"), padded(sku, 3))
 
 
 def _item_key(i: Column) -> Column:
-    return F.concat(
-        F.lit("item"), F.when(i < 10, F.lit("0")).otherwise(F.lit("")), i.cast("string")
-    )
+    return F.concat(F.lit("item"), padded(i, 2))
+
+
+def padded(number: Column, width: int) -> Column:
+    """The number with zeros before it up to `width` digits; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
 class StarSource:
@@ -142,10 +153,9 @@ class StarSource:
             lineitem = self.raw("lineitem")
             rows = lineitem.count()
             size_shuffles(self.spark, rows)
-            if slice_width(rows, 0, 1) is not None:
-                day = F.unix_date(F.to_date("l_shipdate"))
-                low, high = lineitem.agg(F.min(day), F.max(day)).first()
-                self._width = slice_width(rows, low * IDS_PER_DAY, (high + 1) * IDS_PER_DAY)
+            day = F.unix_date(F.to_date("l_shipdate"))
+            low, high = lineitem.agg(F.min(day), F.max(day)).first()
+            self._width = slice_width(rows, (low or 0) * PER_DAY, ((high or 0) + 1) * PER_DAY)
             self._sized = True
         return self._width
 
@@ -169,15 +179,17 @@ class StarSource:
     def readings(self) -> DataFrame:
         """Every shelf reading: one per line item, with an id that follows the day.
 
-        The id is unique up to 200,000 orders, 20,000 parts and 1,000 suppliers.
+        The id strings day, order, line, part and supplier together, each in digits of its own,
+        so two lines have equal ids only if they agree in all five.
         """
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         keep = 100 - F.round(F.col("l_discount") * 100).cast("bigint")
         day = F.unix_date(F.to_date("l_shipdate")).cast("bigint")
-        order_line = (day * 200_000 + F.col("l_orderkey")) * 10 + F.col("l_linenumber")
+        order_line = placed(placed(day, F.col("l_orderkey"), 12), F.col("l_linenumber"), 2)
+        part_supplier = placed(F.col("l_partkey"), F.col("l_suppkey"), 8)
         line = self.raw("lineitem").select(
-            ((order_line * 20_000 + F.col("l_partkey")) * 1_000 + F.col("l_suppkey")).alias("id"),
-            (F.col("l_partkey") % CATALOGUE_SKUS).alias("sku"),
+            placed(order_line, part_supplier, 18).alias("id"),
+            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("sku"),
             F.col("l_suppkey").alias("s_suppkey"),
             F.col("l_shipdate").cast("timestamp").alias("observed_at"),
             cents.alias("cents"),
@@ -196,14 +208,19 @@ class StarSource:
             .alias("price"),
         )
 
+    def lines(self) -> DataFrame:
+        """Product lines: consecutive parts sold under the first one's name and size."""
+        first = [F.min_by(c, "p_partkey").alias(c) for c in ("p_name", "p_type", "p_size")]
+        line = F.expr(f"p_partkey div {PARTS_PER_LINE}")
+        return self.raw("part").groupBy(line.alias("sku")).agg(*first, F.count("*").alias("parts"))
+
     def _sizes(self) -> DataFrame:
-        sku = F.col("p_partkey")
+        sku = F.col("sku")
         uom = _pick(UOMS, ((sku % 20) % 3 + F.when(sku % 37 == 0, 1).otherwise(0)) % 3)
         return (
-            self.raw("part")
-            .filter(sku < CATALOGUE_SKUS)
+            self.lines()
             .select(
-                sku.alias("sku"),
+                "sku",
                 uom.alias("size_base_uom"),
                 F.when(sku % 41 == 0, F.lit(None))
                 .when(uom == "count", F.col("p_size"))
@@ -269,12 +286,12 @@ class StarSource:
         )
 
     def items(self) -> DataFrame:
-        """Every part is a tracked item; the first fifteen are the fixed basket."""
-        i = F.col("p_partkey")
+        """Every product line is a tracked item; the first fifteen are the fixed basket."""
+        i = F.col("sku")
         core = i < 15
         uom = _pick(INDEX_UOMS, i % 3)
         sizes = {c: f"{n + 1} pack" for n, c in enumerate(CURRENCIES) if n % 2 == 0}
-        return self.raw("part").select(
+        return self.lines().select(
             _item_key(i).alias("key"),
             F.col("p_name").alias("label"),
             F.when(core, "core").when(i < 18, "stretch").otherwise("registered").alias("tier"),
@@ -286,41 +303,40 @@ class StarSource:
             .alias("index_uom"),
         )
 
+    def _pinned(self) -> DataFrame:
+        """Pins: i is an item's product line, n the nation of a store that has shown it."""
+        lines = self.raw("lineitem").select(
+            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("i"), F.col("l_suppkey").alias("s_suppkey")
+        )
+        supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
+        return lines.join(supplier, "s_suppkey").select("i", "n").distinct()
+
     def basket_map(self) -> DataFrame:
-        i, n = F.col("i"), F.col("n_nationkey")
+        i, n = F.col("i"), F.col("n")
         missing = (i + n) % 11 == 0
-        return (
-            self.raw("nation")
-            .select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(PINNED_ITEMS - 1))).alias("i"))
-            .select(
-                _item_key(i).alias("item_key"),
-                _store_id(n).alias("store_id"),
-                F.when(~missing, product_key_of(i + 20 * (n % 10))).alias("product_key"),
-                F.when(missing, "not_stocked")
-                .when((i + n) % 3 == 0, "curated")
-                .otherwise("verified")
-                .alias("status"),
-                F.when((i + n) % 4 == 0, F.concat(i.cast("string"), F.lit(" units")))
-                .alias("target_size"),
-                F.when((i * n) % 13 == 1, 2).otherwise(0).alias("missed_runs"),
-            )
+        return self._pinned().select(
+            _item_key(i).alias("item_key"),
+            _store_id(n).alias("store_id"),
+            F.when(~missing, product_key_of(i)).alias("product_key"),
+            F.when(missing, "not_stocked")
+            .when((i + n) % 3 == 0, "curated")
+            .otherwise("verified")
+            .alias("status"),
+            F.when((i + n) % 4 == 0, F.concat(i.cast("string"), F.lit(" units")))
+            .alias("target_size"),
+            F.when((i * n) % 13 == 1, 2).otherwise(0).alias("missed_runs"),
         )
 
     def pin_gaps(self) -> DataFrame:
-        i, n = F.col("i"), F.col("n_nationkey")
-        start = F.date_add(F.lit(date(1997, 1, 1)), (31 * i + 17 * n) % 900)
-        return (
-            self.raw("nation")
-            .select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(PINNED_ITEMS - 1))).alias("i"))
-            .filter((7 * i + n) % 5 == 0)
-            .select(
-                _store_id(n).alias("store_id"),
-                product_key_of(i + 20 * (n % 10)).alias("product_key"),
-                start.cast("timestamp").alias("from_at"),
-                F.when((i + n) % 9 != 0, F.date_add(start, 20 + (i + n) % 60))
-                .cast("timestamp")
-                .alias("to_at"),
-            )
+        i, n = F.col("i"), F.col("n")
+        start = F.date_add(F.lit(date(1997, 1, 1)), ((31 * i + 17 * n) % 900).cast("int"))
+        return self._pinned().select(
+            _store_id(n).alias("store_id"),
+            product_key_of(i).alias("product_key"),
+            start.cast("timestamp").alias("from_at"),
+            F.when((i + n) % 9 != 0, F.date_add(start, (20 + (i + n) % 60).cast("int")))
+            .cast("timestamp")
+            .alias("to_at"),
         )
 
     def _events(self, *types: str) -> DataFrame:
@@ -357,7 +373,7 @@ class StarSource:
         )
         loose = F.concat(F.lit('{"rows":'), k.cast("string"), F.lit(',"reason":"'),
                          F.when(e % 2 == 0, "r").otherwise(""), F.lit('"}'))
-        return self._events("error").filter(e % 5 == 0).select(
+        return self._events("error").select(
             F.concat(F.lit("inc"), F.lpad(e.cast("string"), 12, "0")).alias("id"),
             _store_id(F.col("user_id") % 25).alias("store_id"),
             kind.alias("kind"),
@@ -370,7 +386,7 @@ class StarSource:
 
     def alerts(self) -> DataFrame:
         e, k = F.col("event_id"), F.col("k")
-        return self._events("purchase").filter(e % 7 == 0).select(
+        return self._events("purchase").select(
             F.concat(F.lit("al"), F.lpad(e.cast("string"), 12, "0")).alias("id"),
             _pick(ALERT_KINDS, k % 3).alias("kind"),
             F.when(k % 2 == 0, "email").otherwise("chat").alias("channel"),

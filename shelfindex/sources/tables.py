@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +57,8 @@ class Tables:
 
     @property
     def now(self) -> Column:
-        """`as_of` as a timestamp column."""
-        return F.lit(datetime(self.as_of.year, self.as_of.month, self.as_of.day))
+        """`as_of` as a timestamp column: midnight in the session's zone, whatever the driver's."""
+        return F.lit(self.as_of).cast("timestamp")
 
     def days_ago(self, days: int) -> Column:
         return self.now - F.expr(f"interval {int(days)} days")

@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from shelfindex.functions.incidents import BAD_RUNS
 from shelfindex.plans.health import merged_events, named_events
-from shelfindex.session import scratch_path
 from shelfindex.streaming.sinks import Versions, run_available
 
 DAILY = "store_id string, d date, runs bigint, rows bigint, bad_runs bigint, version_id bigint"
 
 
 def feed_stream(
-    runs: DataFrame, incidents: DataFrame, alerts: DataFrame, stores: DataFrame
+    runs: DataFrame,
+    incidents: DataFrame,
+    alerts: DataFrame,
+    stores: DataFrame,
+    delay: str | None = None,
 ) -> DataFrame:
     """The batch feed over streams, joined with the static store names.
 
-    An incident must arrive as appended records; a resolution is a record of its own.
+    Incidents that are delivered once, closed or not, give both their events. Where an opening
+    and a resolution are delivered separately, `incidents` is a change log: its column `phase`
+    says what a record reports. With `delay`, an event delivered again within that time is left
+    out; events that come later than `delay` behind the newest are then left out too.
     """
-    return named_events(merged_events(runs, incidents, alerts), stores)
+    events = merged_events(runs, incidents, alerts)
+    if delay is not None:
+        events = events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["source", "id"])
+    return named_events(events, stores)
 
 
 def write_feed(events: DataFrame, root: str) -> DataFrame:
@@ -74,7 +83,3 @@ def write_daily(spark: SparkSession, figures: DataFrame, root: str) -> DataFrame
 
     run_available(figures, f"{root}/checkpoint", per_batch, mode="update")
     return store.current().drop("version_id")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return scratch_path(spark, label)

@@ -11,7 +11,7 @@ from shelfindex.streaming.sinks import Versions, run_available
 
 PRODUCT = ["store_id", "product_key"]
 LATEST = """
-    store_id string, product_key string, id bigint, observed_at timestamp, price decimal(12,4)
+    store_id string, product_key string, id decimal(38,0), observed_at timestamp, price decimal(12,4)
 """
 COLUMNS = [*PRODUCT, "id", "observed_at", "price"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -57,8 +58,14 @@ class Versions:
         rows.write.mode("overwrite").parquet(f"{self.root}/version={batch}")
 
     def before(self, batch: int) -> DataFrame:
-        """The newest row per key among all batches before this one."""
+        """The newest row per key among all batches before this one.
+
+        A first batch beside later ones means that a new checkpoint met an old folder; its
+        versions would mix with this stream's, so that is refused.
+        """
         if batch == 0:
+            if self._last() > 0:
+                raise ValueError(f"{self.root} holds the versions of another checkpoint")
             return self.spark.createDataFrame([], self.schema)
         first = (batch - 1) // self.every * self.every
         return self._newest(F.col("version").between(first, batch - 1))
@@ -73,8 +80,15 @@ class Versions:
 
     def current(self) -> DataFrame:
         """The newest row per key after the last batch written."""
-        last = self._all().agg(F.max("version")).first()[0]
-        return self.before(0 if last is None else last + 1)
+        return self.before(self._last() + 1)
+
+    def _last(self) -> int:
+        """The last version written, or -1."""
+        try:
+            last = self._all().agg(F.max("version")).first()[0]
+        except AnalysisException:  # no folder yet
+            return -1
+        return -1 if last is None else last
 
     def _all(self) -> DataFrame:
         return self.spark.read.schema(f"{self.schema}, version int").parquet(self.root)

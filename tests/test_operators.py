@@ -74,7 +74,8 @@ def test_neighbours_in_slices(spark, width, ahead):
 
 
 def test_slice_width():
-    assert slice_width(10, 0, 100, target=10) is None
+    assert slice_width(10, 0, 100, target=10) == 101
+    assert slice_width(0, 0, 0) >= 1
     assert slice_width(1000, 1, 1000, target=10) == 10
     assert slice_width(10**12, 1, 10) == 1
 
