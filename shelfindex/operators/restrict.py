@@ -5,28 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from shelfindex.session import checkpointed
 
-# The most keys a task is sent whole; at a few dozen bytes each, some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+def only_keys(df: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """Rows of `df` whose key is in `wanted`.
 
-
-def settled(df: DataFrame) -> tuple[DataFrame, int]:
-    """A result computed once into the shared folder, and how many rows it has."""
-    kept = checkpointed(df)
-    return kept, kept.count()
-
-
-def only_keys(
-    df: DataFrame, keys: Sequence[str], wanted: DataFrame, rows: int | None = None
-) -> DataFrame:
-    """Rows of `df` whose key is in `wanted`, which has `rows` rows if they were counted.
-
-    A counted, short list is broadcast, so the history is filtered where it is read and never
-    shuffled for the join. Any other is joined as Spark sees fit.
+    Always a semi-join: Spark broadcasts `wanted` if its measured bytes allow it, so that the
+    history is filtered where it is read, and otherwise shuffles both sides.
     """
-    side = wanted.select(*keys)
-    short = rows is not None and rows <= BROADCAST_ROWS
-    return df.join(F.broadcast(side) if short else side, keys, "left_semi")
+    return df.join(wanted.select(*keys), keys, "left_semi")

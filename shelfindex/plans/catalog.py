@@ -25,7 +25,7 @@ from shelfindex.functions.verdicts import imprecise_size
 from shelfindex.operators.ordered import latest_by, top_by
 from shelfindex.operators.paging import Page, after, fetched, probe, take_page
 from shelfindex.operators.quantile import quantiles_of_counts
-from shelfindex.operators.restrict import BROADCAST_ROWS, only_keys, settled
+from shelfindex.operators.restrict import only_keys
 from shelfindex.plans.bulletins import srp_latest
 from shelfindex.plans.pins import PRODUCT
 from shelfindex.sources.tables import Tables
@@ -60,21 +60,17 @@ def catalogue(tables: Tables) -> DataFrame:
     return tables.products.join(stores, "store_id").withColumn("imprecise", imprecise_size())
 
 
-def history_of(
-    tables: Tables, products: DataFrame | None = None, rows: int | None = None
-) -> DataFrame:
-    """Price observations, only of the given products (`rows` of them, if counted)."""
+def history_of(tables: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Price observations, only of the given products if any are given."""
     observations = tables.price_observations
     if products is None:
         return observations
-    return only_keys(observations, PRODUCT, products, rows)
+    return only_keys(observations, PRODUCT, products)
 
 
-def sparkline(
-    tables: Tables, among: DataFrame | None = None, rows: int | None = None
-) -> DataFrame:
+def sparkline(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     """Per product its newest 30 price steps, oldest first, and whether the last one fell."""
-    steps = history_of(tables, among, rows).select(*PRODUCT, "id", "observed_at", "price")
+    steps = history_of(tables, among).select(*PRODUCT, "id", "observed_at", "price")
     newest = top_by(steps, PRODUCT, [F.col("id").desc()], SPARK_POINTS)
     point = F.struct("id", F.date_format("observed_at", "yyyy-MM-dd").alias("d"),
                      F.col("price").alias("p"))
@@ -88,26 +84,15 @@ def sparkline(
     )
 
 
-def with_latest(products: DataFrame, tables: Tables, rows: int | None = None) -> DataFrame:
-    """Add the latest observation of each product.
-
-    With a known and small number of products only their history is read; otherwise every
-    product's latest is found first, which each task reduces before the shuffle.
-    """
-    among = products if rows is not None and rows <= BROADCAST_ROWS else None
-    history = history_of(tables, among, rows)
+def with_latest(products: DataFrame, tables: Tables) -> DataFrame:
+    """Add the latest observation of each product; only their history is read."""
+    history = history_of(tables, products)
     return products.join(latest_by(history, PRODUCT, "id", LATEST), PRODUCT, "left")
 
 
-def with_latest_of(found: DataFrame, tables: Tables) -> DataFrame:
-    """`with_latest` for matches that are computed and counted first."""
-    kept, rows = settled(found)
-    return with_latest(kept, tables, rows)
-
-
-def as_hits(found: DataFrame, tables: Tables, rows: int) -> DataFrame:
-    """At most `rows` catalogue rows with latest prices, in the published hit shape."""
-    sparks = sparkline(tables, found, rows)
+def as_hits(found: DataFrame, tables: Tables) -> DataFrame:
+    """Catalogue rows with latest prices, in the published hit shape."""
+    sparks = sparkline(tables, found)
     extra = [c for c in ("sort_rank", "sort_value", "median30", "pct_below") if c in found.columns]
     empty = F.array().cast("array<struct<d:string,p:decimal(12,4)>>")
     return found.join(sparks, PRODUCT, "left").select(
@@ -168,7 +153,7 @@ def search_keys(tables: Tables, search: Search) -> tuple[DataFrame, list[Column]
     """
     found = matches(tables, search)
     if search.sort == "unit_price" or search.basis is not None:
-        found = with_latest_of(found, tables)
+        found = with_latest(found, tables)
     if search.basis is not None:
         found = found.filter(F.col("unit_price_basis") == search.basis)
 
@@ -210,8 +195,8 @@ def search(tables: Tables, params: Search) -> DataFrame:
     most = params.limit + 1
     page = fetched(probe(found, key, params.limit), most)
     if "price" not in page.columns:
-        page = with_latest(page, tables, most)
-    return as_hits(page, tables, most).orderBy(*key)
+        page = with_latest(page, tables)
+    return as_hits(page, tables).orderBy(*key)
 
 
 def search_page(tables: Tables, params: Search) -> Page:
@@ -276,7 +261,7 @@ def over_srp(tables: Tables, params: Search) -> DataFrame:
     order = F.struct(F.col("price").alias("at"), "category", "product", "size",
                      F.col("price").alias("srp"))
     reference = srp_reference(tables, params.q or "").agg(F.array_sort(F.collect_list(order)))
-    found = with_latest_of(matches(tables, params), tables)
+    found = with_latest(matches(tables, params), tables)
     name, squeezed = F.lower("name"), compact(F.col("name"))
 
     def same(row: Column) -> Column:
@@ -315,7 +300,6 @@ def window_price_counts(
     tables: Tables,
     days: int = MEDIAN_DAYS,
     among: DataFrame | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """How often each price was stepped to in the last `days` days, per product.
 
@@ -323,7 +307,7 @@ def window_price_counts(
     by price, older ones reduce to their newest, both before the shuffle.
     """
     recent = F.col("observed_at") > tables.days_ago(days)
-    steps = history_of(tables, among, rows).select(
+    steps = history_of(tables, among).select(
         *PRODUCT, "id", "price", recent.alias("recent"), F.when(recent, F.col("price")).alias("at")
     )
     return (
@@ -337,10 +321,9 @@ def median_price(
     tables: Tables,
     days: int = MEDIAN_DAYS,
     among: DataFrame | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Exact median and number of the window's price steps per product."""
-    counts = window_price_counts(tables, days, among, rows)
+    counts = window_price_counts(tables, days, among)
     medians = quantiles_of_counts(counts, PRODUCT, {"median30": 0.5})
     return medians.withColumnRenamed("total", "steps")
 
@@ -363,8 +346,7 @@ def drops(
 ) -> DataFrame:
     """Products at least 10% under their own 30-day median, deepest first.
 
-    Only products priced down within the week enter the median; that list, no longer than
-    the catalogue, is computed once.
+    Only products priced down within the week enter the median.
     """
     if not 1 <= limit <= DROPS_MOST:
         raise ValueError(f"limit is 1 to {DROPS_MOST}")
@@ -372,9 +354,9 @@ def drops(
     products = catalogue(tables).filter(F.col("active") & listed(tables, listed_days))
     if category is not None:
         products = products.filter(F.col("category") == category)
-    shown, rows = settled(products.join(candidates, PRODUCT, "left_semi"))
-    medians = median_price(tables, among=shown, rows=rows).filter(F.col("steps") >= DROP_STEPS)
-    priced = with_latest(shown, tables, rows).join(medians, PRODUCT)
+    shown = products.join(candidates, PRODUCT, "left_semi")
+    medians = median_price(tables, among=shown).filter(F.col("steps") >= DROP_STEPS)
+    priced = with_latest(shown, tables).join(medians, PRODUCT)
     price = F.col("price").cast("double")
     ceiling = F.lit(float(1 - DROP_THRESHOLD)) * F.col("median30")
     depth = (F.col("median30") - price) / F.nullif("median30", F.lit(0.0))
@@ -384,14 +366,14 @@ def drops(
         .orderBy(depth.desc_nulls_last(), "store_id", "product_key")
         .limit(limit)
     )
-    return as_hits(fetched(deepest, limit), tables, limit)
+    return as_hits(fetched(deepest, limit), tables)
 
 
 def product(tables: Tables, store_id: str, product_key: str) -> DataFrame:
     """One product as a hit, with its unit, first day and whether it is still listed."""
     mine = (F.col("store_id") == store_id) & (F.col("product_key") == product_key)
     row = fetched(catalogue(tables).filter(mine), 1)
-    hit = as_hits(with_latest(row, tables, 1), tables, 1).drop("spark")
+    hit = as_hits(with_latest(row, tables), tables).drop("spark")
     rest = row.select(*PRODUCT, "unit", "first_seen", listed(tables).alias("listed"))
     return hit.join(rest, PRODUCT)
 
@@ -404,18 +386,15 @@ def product_history(tables: Tables, store_id: str, product_key: str) -> DataFram
     )
 
 
-def product_stats(
-    tables: Tables, among: DataFrame | None = None, rows: int | None = None
-) -> DataFrame:
+def product_stats(tables: Tables, among: DataFrame | None = None) -> DataFrame:
     """The 90-day low and 30-day median of products; null where the window holds nothing."""
     recent = F.col("observed_at") > tables.days_ago(LOW_DAYS)
     lows = (
-        history_of(tables, among, rows)
-        .groupBy(*PRODUCT)
-        .agg(F.min(F.when(recent, F.col("price"))).alias("low90"))
+        history_of(tables, among).filter(recent).groupBy(*PRODUCT)
+        .agg(F.min("price").alias("low90"))
     )
-    medians = median_price(tables, among=among, rows=rows).select(*PRODUCT, "median30")
-    return lows.join(medians, PRODUCT, "left")
+    medians = median_price(tables, among=among).select(*PRODUCT, "median30")
+    return medians.join(lows, PRODUCT, "left").select(*PRODUCT, "low90", "median30")
 
 
 def same_size(tables: Tables, store_id: str, product_key: str) -> DataFrame:
@@ -441,7 +420,7 @@ def same_size(tables: Tables, store_id: str, product_key: str) -> DataFrame:
         .filter(F.col("similarity") >= SIMILAR_FROM)
     )
     return (
-        with_latest_of(alike, tables)
+        with_latest(alike, tables)
         .orderBy(
             F.col("similarity").desc(), F.col("price").asc_nulls_last(), "store_id", "product_key"
         )

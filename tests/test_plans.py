@@ -310,10 +310,84 @@ def test_schema_rules(tiny):
 def test_restricted_history(tiny, spark):
     tables = tiny(price_observations=[price(i, "a", f"k{i % 4}", 30, i) for i in range(1, 13)])
     among = spark.createDataFrame([("a", "k1"), ("a", "k2")], "store_id string, product_key string")
-    for rows in (None, 2, 10**9):
-        stats = catalog.product_stats(tables, among, rows).collect()
-        assert {(r.product_key, float(r.low90), r.median30) for r in stats} == {
-            ("k1", 1.0, 5.0), ("k2", 2.0, 6.0)}
-        products = among.withColumn("name", F.lit("x"))
-        latest = {r.product_key: r.price for r in catalog.with_latest(products, tables, rows).collect()}
-        assert latest == {"k1": 9, "k2": 10}
+    stats = catalog.product_stats(tables, among).collect()
+    assert {(r.product_key, float(r.low90), r.median30) for r in stats} == {
+        ("k1", 1.0, 5.0), ("k2", 2.0, 6.0)}
+    products = among.withColumn("name", F.lit("x"))
+    latest = {r.product_key: r.price for r in catalog.with_latest(products, tables).collect()}
+    assert latest == {"k1": 9, "k2": 10}
+
+
+def test_clocks_do_not_follow_the_drivers_zone(tiny, monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Manila")
+    time.tzset()
+    try:
+        row = tiny().spark.range(1).select(
+            tiny(as_of=date(2024, 1, 31)).now.cast("string").alias("now"),
+            health._moment("2024-01-31T00:00:00Z").cast("string").alias("z"),
+            health._moment("2024-01-31T08:00:00+08:00").cast("string").alias("offset"),
+        ).first()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert tuple(row) == ("2024-01-31 00:00:00",) * 3
+
+
+def test_fuel_week_with_two_ends_and_an_absent_product(tiny):
+    def series(n, commodity):
+        return {"id": n, "source": bulletins.PUMP, "commodity": commodity, "region": "R",
+                "place": "p", "brand": "b", "variant": "", "unit": "litre"}
+
+    def week(n, end, low):
+        return {"series_id": n, "period_start": date(2024, 1, 1), "period_end": date(2024, 1, end),
+                "price_min": low, "price_max": low + 1}
+
+    tables = tiny(gov_series=[series(1, "RON 95"), series(2, "RON 95")],
+                  gov_prices=[week(1, 6, 50), week(2, 7, 40)])
+    (row,) = bulletins.fuel_range(tables, "R", "RON 95").collect()
+    assert (row.period_end, row.low, row.high) == (date(2024, 1, 7), 40, 51)
+    (row,) = bulletins.fuel_range(tables, "R", "DIESEL").collect()
+    assert (row.period_end, row.low) == (date(2024, 1, 7), None)
+
+
+def test_recent_lpg_months_break_ties_by_series(tiny):
+    tables = tiny(
+        gov_series=[{"id": n, "source": bulletins.LPG, "unit": "u"} for n in range(1, 10)],
+        gov_prices=[{"series_id": n, "period_start": date(2024, 1, 1),
+                     "period_end": date(2024, 1, 31), "price_min": n, "price_max": n}
+                    for n in (9, 3, 7, 1, 5, 8, 2, 6, 4)],
+    )
+    assert [r.series_id for r in bulletins.lpg_recent(tables).collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_junk_numbers_in_a_cursor_fall_back_to_page_one():
+    for value in ("abc", "NaN", "Infinity", "1e999", "--1", ""):
+        raw = cursor.encode({"o": "unit_price", "v": value, "s": "a", "k": "b"})
+        assert cursor.decode_search(raw, "unit_price") is None
+    raw = cursor.encode({"o": "relevance", "v": "-0.5", "s": "a", "k": "b"})
+    assert cursor.decode_search(raw, "relevance")["v"] == "-0.5"
+
+
+def test_ids_differ_at_any_size(spark):
+    from shelfindex.sources.star import placed
+
+    n = 300_000
+    ids = spark.range(n).select(
+        placed(
+            placed(placed(F.lit(10_000), F.col("id") % 299_993, 12), F.col("id") % 7, 2),
+            placed(F.col("id") % 49_999, F.col("id") % 1_000_003, 8), 18,
+        ).alias("reading")
+    )
+    assert ids.distinct().count() == n
+
+
+def test_a_change_log_gives_one_event_per_record(tiny):
+    opened = {"id": "i1", "store_id": "a", "kind": "nulls", "state": "open", "opened_at": at(1)}
+    closed = {**opened, "state": "resolved", "resolved_at": at(2)}
+    table = tiny(incidents=[opened, closed]).incidents
+    log = table.withColumn("phase", F.when(F.col("state") == "open", "opened").otherwise("resolved"))
+    assert sorted(r.id for r in health.incident_events(log).collect()) == ["i1:opened", "i1:resolved"]
+    once = tiny(incidents=[closed]).incidents
+    assert sorted(r.id for r in health.incident_events(once).collect()) == ["i1:opened", "i1:resolved"]
