@@ -4,9 +4,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, connect
+from checks.registry import registered
 from shelfindex.plans import bulletins, catalog
 from shelfindex.plans.catalog import Search
-from shelfindex.session import MOST_PARTITIONS, size_shuffles
+from shelfindex.session import shared_folder, size_shuffles
 from shelfindex.sources.sinks import as_documents, write_documents, write_table
 from shelfindex.sources.star import StarSource
 from shelfindex.sources.tables import Tables
@@ -20,7 +21,7 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(registered()))
 def test_against_sql(spark, connection, name):
     problem, _ = compare(spark, connection, FOLDER, queries()[name], oracle_sql()[name])
     assert problem is None
@@ -36,12 +37,35 @@ def test_documents_cover_every_bulletin(spark):
 def test_shuffles_grow_with_the_input(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for rows, expected in ((10, least), (10**9, 500), (10**13, MOST_PARTITIONS)):
+    for rows, expected in ((10, least), (10**9, 500), (10**12, 500_000)):
         size_shuffles(spark, rows)
         assert int(spark.conf.get(key)) == expected
     size_shuffles(spark, 1)
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
+def test_every_part_line_and_event_takes_part(spark):
+    source = StarSource(spark, FOLDER)
+    tables = source.tables()
+    parts = source.lines().agg({"parts": "sum"}).first()[0]
+    assert parts == source.raw("part").count()
+    readings = source.readings()
+    assert readings.count() == source.raw("lineitem").count()
+    assert readings.select("id").distinct().count() == source.raw("lineitem").distinct().count()
+    kinds = {r[0]: r[1] for r in source.raw("events").groupBy("event_type").count().collect()}
+    assert tables.incidents.count() == kinds["error"] and tables.alerts.count() == kinds["purchase"]
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
@@ -50,9 +74,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(
-    "name", [n for n in queries() if not n.startswith("stream")]
-)
+@pytest.mark.parametrize("name", [n for n in registered() if not n.startswith("stream")])
 def test_no_pairwise_joins(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     assert not any(operator in plan for operator in PAIRWISE)
