@@ -28,8 +28,11 @@ def op1_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the class that links tie them into and the text they are a copy of."""
     found = jaccard.joined(table(spark, folder, "documents"))
-    return found.select("doc_id", "class_id", "links", "group_id", "keep")
+    return found.select(
+        "doc_id", F.col("group_id").alias("class_id"), "links", F.col("class_id").alias("text_id"), "keep"
+    )
 
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,12 +124,12 @@ described AS (
     SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id
     FROM documents d LEFT JOIN classed c ON d.doc_id = c.doc_id
 )
-SELECT doc_id, class_id, coalesce(links, 0)::BIGINT AS links,
-    least(class_id, coalesce(least, class_id)) AS group_id,
-    doc_id = least(class_id, coalesce(least, class_id)) AS keep
+SELECT doc_id, least(described.class_id, coalesce(least, described.class_id)) AS class_id,
+    coalesce(links, 0)::BIGINT AS links, described.class_id AS text_id,
+    doc_id = least(described.class_id, coalesce(least, described.class_id)) AS keep
 FROM described
-LEFT JOIN counted ON counted.a = class_id
-LEFT JOIN grouped ON grouped.a = class_id
+LEFT JOIN counted ON counted.a = described.class_id
+LEFT JOIN grouped ON grouped.a = described.class_id
 """,
     "op5_vector_approximation": f"""
 WITH whole AS (
