@@ -60,9 +60,12 @@ def decode_search(raw: str | None, order: str) -> dict | None:
     return {f: fields[f] for f in "ovsk"}
 
 
+NUMBER = re.compile(r"-?[0-9]{1,20}(\.[0-9]*)?(E-?[0-9]{1,2})?")
+
+
 def _is_number(text: str) -> bool:
     """A plain decimal number that a sort value can be compared with."""
-    return len(text) <= 40 and re.fullmatch(r"-?[0-9]{1,20}(\.[0-9]*)?(E-?[0-9]{1,2})?", text) is not None
+    return len(text) <= 40 and NUMBER.fullmatch(text) is not None
 
 
 def iso(at: Column) -> Column:

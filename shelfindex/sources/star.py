@@ -306,7 +306,8 @@ class StarSource:
     def _pinned(self) -> DataFrame:
         """Pins: i is an item's product line, n the nation of a store that has shown it."""
         lines = self.raw("lineitem").select(
-            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("i"), F.col("l_suppkey").alias("s_suppkey")
+            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("i"),
+            F.col("l_suppkey").alias("s_suppkey"),
         )
         supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
         return lines.join(supplier, "s_suppkey").select("i", "n").distinct()
