@@ -39,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("at"), F.col("next").alias("beyond"))
         moved = kept(
             lower.join(jump, F.col("next") == F.col("at")).select(
-                "node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved")
+                "node",
+                F.col("beyond").alias("label"),
+                (F.col("beyond") != F.col("label")).alias("moved"),
             ),
             "labels",
         )

@@ -81,7 +81,8 @@ class MinHash:
     """Band hashes of n-gram sets."""
 
     def __init__(self, bands: int, rows: int, seed: int = 11):
-        draw = np.random.default_rng(seed).integers(1, 2**63, size=(2, bands * rows), dtype=np.uint64)
+        size = (2, bands * rows)
+        draw = np.random.default_rng(seed).integers(1, 2**63, size=size, dtype=np.uint64)
         self.times, self.plus = draw[0][:, None] | np.uint64(1), draw[1][:, None]
         self.bands, self.rows = bands, rows
 

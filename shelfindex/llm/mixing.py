@@ -101,7 +101,10 @@ def with_shares(documents: DataFrame, model: list[list[float]]) -> DataFrame:
         )
         .select("row", "tokens", F.array(*[evidence(own) for own in model]).alias("logs"))
         .select("row", "tokens", "logs", F.array_max("logs").alias("best"))
-        .select("row", "tokens", F.transform("logs", lambda x: F.exp(x - F.col("best"))).alias("odds"))
+        .select(
+            "row", "tokens",
+            F.transform("logs", lambda x: F.exp(x - F.col("best"))).alias("odds"),
+        )
         .select(
             "row", "tokens", "odds",
             F.aggregate("odds", F.lit(0.0), lambda s, x: s + x).alias("whole"),

@@ -31,7 +31,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the class that links tie them into and the text they are a copy of."""
     found = jaccard.joined(table(spark, folder, "documents"))
     return found.select(
-        "doc_id", F.col("group_id").alias("class_id"), "links", F.col("class_id").alias("text_id"), "keep"
+        "doc_id", F.col("group_id").alias("class_id"), "links",
+        F.col("class_id").alias("text_id"), "keep",
     )
 
 
@@ -70,7 +71,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Records of pages as read back; the archives hold no gaps unless they were damaged."""
     found = warc.archived(table(spark, folder, "pages"))
     return found.filter(F.col("kind") != "gap").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
+        "page_id", "payload_bytes", "payload_digest",
+        F.col("kind").alias("record_type"), "refers_to",
     )
 
 
@@ -91,8 +93,8 @@ SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
 WITH RECURSIVE worded AS (
     SELECT doc_id,
-        [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') IF w <> '']
-            AS words
+        [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+')
+            IF w <> ''] AS words
     FROM documents
 ),
 shingled AS (

@@ -66,7 +66,8 @@ def assigned(documents: DataFrame, shards: int) -> DataFrame:
     totals = rows.agg(*[F.sum(m).cast("double").alias(m) for m in MEASURES]).first()
     if not totals["one"]:
         return rows.select(
-            "doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")
+            "doc_id", "size", "text_crc32",
+            F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"),
         )
     share = F.greatest(*[F.col(f"all_{m}") / max(totals[m], 1.0) for m in MEASURES])
     large = (

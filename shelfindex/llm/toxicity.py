@@ -2,8 +2,8 @@
 
 Terms of a text are its lower-case words and the beginnings of longer words, each as a 32-bit
 hash, present or absent. From at most `SAMPLE` labelled documents the `TERMS` terms whose presence
-tells most about the label (likelihood ratio, `LEAST_RATIO` at least) are taken; they are counted by Spark over the whole
-sample. The machine learns a weight for each term and a short vector for each, whose inner
+tells most about the label (likelihood ratio, `LEAST_RATIO` at least) are taken; they are counted
+by Spark over the whole sample. The machine learns a weight for each term and a short vector for each, whose inner
 products are weights of pairs: an insult that is harmless alone and toxic beside a mention of a
 group gets its weight as a pair, which additive weights cannot give.
 
