@@ -38,7 +38,6 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
 MEMBER, VERSION, BREAK = b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-LONGEST_HEADER = 1 << 16
 CHUNK = 1 << 14
 
 RECORD = (
@@ -162,7 +161,8 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict, int] | None:
     """The record that starts at `at` and where it stops, or None if anything is amiss."""
     if not data.startswith(VERSION, at):
         return None
-    head = data.find(BREAK, at, at + LONGEST_HEADER)
+    line = data.find(b"\r\n" + VERSION, at)  # no header of this writer holds one, however long
+    head = data.find(BREAK, at, line if line >= 0 else len(data))
     if head < 0:
         return None
     fields = dict(FIELD.findall(data, at + len(VERSION), head + 2))

@@ -131,6 +131,20 @@ def test_archives_round_trip(spark):
     assert warc.archived(pages_of(spark, [])).count() == 0
 
 
+def test_urls_of_any_length_come_back(spark):
+    long = "data:text/html," + "x" * 100_000
+    rows = [(1, long, "y" * 150), (2, long + "WARC/1.1", "y" * 150), (3, "u3", "z")]
+    got = {r.page_id: r for r in warc.archived(pages_of(spark, rows)).collect()}
+    assert {i: (r.kind, r.target, r.refers_to) for i, r in got.items()} == {
+        1: ("response", long, None),
+        2: ("revisit", long + "WARC/1.1", 1),
+        3: ("response", "u3", None),
+    }
+    members = [warc.record(i, url, 1, hashlib.sha256(b"z").hexdigest(), None, b"z") for i, url, _ in rows]
+    plain = warc.scan(b"".join(members))
+    assert [r[2]["target"] for r in plain.records] == [url for _, url, _ in rows] and not plain.gaps
+
+
 def damaged():
     members = []
     for i in range(6):
