@@ -8,8 +8,8 @@ lengths, so the packing is planned on the counts alone and pieces take their pla
 
 1. Best fit, longest first, on counts: equal bins are moved together. This is the incumbent.
 2. If it exceeds the lower bound, branch-and-bound by bin completion: the longest piece left is
-   put in a bin, undominated fillings around it are enumerated, and the bin is repeated as often
-   as the counts allow. A branch is pruned when the space it has wasted exceeds what a packing
+   put in a bin, all undominated fillings around it are enumerated, each when its turn comes, and
+   the bin is repeated as often as the counts allow. A branch is pruned when the space it has wasted exceeds what a packing
    with one bin less than the incumbent may waste. The search ends at the lower bound or after
    `EFFORT` steps, which limits effort only: the incumbent always packs everything.
 
@@ -37,8 +37,7 @@ from shelfindex.llm.word_ids import word_ids
 CAPACITY = 4_096
 END = 1
 EFFORT = 100_000  # steps of all enumerations together
-FILLINGS = 8  # tried around one piece
-STEPS = 100  # of one enumeration
+LENGTHS_PER_STEP = 256  # of the table of sums that an enumeration looks into
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
@@ -97,32 +96,96 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:
     return [entry for entries in open_bins.values() for entry in entries]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int) -> tuple[list[Bin], int]:
-    """Undominated fillings of `room` that leave at most `waste`, fullest first; steps taken."""
-    lengths = sorted(n for n, c in counts.items() if c and n <= room)
-    steps, found = 0, []
-    # Each entry: lengths chosen so far, room left, the longest that may still be chosen.
-    stack: list[tuple[tuple[int, ...], int, int]] = [((), room, room)]
-    while stack and steps < STEPS and len(found) < FILLINGS:
-        chosen, left, longest = stack.pop()
-        steps += 1
-        options, at = [], bisect_right(lengths, min(left, longest)) - 1
-        while at >= 0 and len(options) < FILLINGS:
-            if chosen.count(lengths[at]) < counts[lengths[at]]:
-                options.append(lengths[at])
-            at -= 1
-        stack.extend((chosen + (n,), left - n, n) for n in reversed(options))
-        if not options and left <= waste and undominated(counts, lengths, chosen, left):
-            found.append(tuple((n, chosen.count(n)) for n in dict.fromkeys(chosen)))
-    found.sort(key=lambda filling: -sum(n * c for n, c in filling))
-    return found, steps
+@dataclass
+class Effort:
+    """What is left of `EFFORT`."""
+
+    left: int = EFFORT
+
+
+def sums_of(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """Entry i has bit s set if pieces of the first i lengths can add up to s."""
+    sums, within = [1], (2 << room) - 1
+    for n in lengths:
+        found, spare, part = sums[-1], min(counts[n], room // n), 1
+        while spare:
+            found |= (found << min(part, spare) * n) & within
+            spare -= min(part, spare)
+            part *= 2
+        sums.append(found)
+    return sums
+
+
+def fillings(counts: dict[int, int], room: int, waste: int, effort: Effort) -> Iterator[Bin]:
+    """All undominated fillings of `room` that leave at most `waste`, fullest first.
+
+    Among equally full ones those with the most of the longest pieces come first. A step chooses
+    a length and its copies, and only where the rest can be filled exactly. `counts` may change
+    while the iterator waits if it is put back before the next one is asked for; an iterator that
+    waits holds one filling.
+    """
+    target, chosen = room, None  # (place of the length, copies), longest first
+    while target >= max(room - waste, 0) and effort.left > 0:
+        lengths = sorted(n for n, c in counts.items() if c and n <= room)
+        sums = sums_of(counts, lengths, room)
+        effort.left -= 1 + len(lengths) // LENGTHS_PER_STEP
+        found = None
+        while found is None and effort.left > 0:
+            effort.left -= 1
+            chosen = following(counts, lengths, sums, target, chosen)
+            if chosen is None:
+                target -= 1
+                while target >= 0 and not sums[-1] >> target & 1:
+                    target -= 1
+                if target < max(room - waste, 0):
+                    return
+                continue
+            filling = {lengths[at]: copies for at, copies in chosen}
+            if undominated(counts, lengths, filling, room - target):
+                found = tuple(filling.items())
+        lengths = sums = None  # many iterators wait at once
+        if found is not None:
+            yield found
+
+
+def following(counts, lengths, sums, target, chosen):
+    """The choice after `chosen` (None: the first) of pieces that add up to `target`, or None."""
+    if chosen is None:
+        if not sums[-1] >> target & 1:
+            return None
+        path, at, copies, left = [], len(lengths), 0, target
+    else:
+        path, left = list(chosen), 0
+        while path:  # take back the last choice that has another after it
+            at, copies = path.pop()
+            left += copies * lengths[at]
+            copies -= 1
+            while copies >= 0 and not sums[at] >> (left - copies * lengths[at]) & 1:
+                copies -= 1
+            if copies >= 0:
+                break
+        else:
+            return None
+        if copies:
+            path.append((at, copies))
+            left -= copies * lengths[at]
+    while left:  # the lengths before `at` can add up to `left`
+        at = min(at, bisect_right(lengths, left)) - 1
+        n = lengths[at]
+        copies = min(counts[n], left // n)
+        while copies and not sums[at] >> (left - copies * n) & 1:
+            copies -= 1
+        if copies:
+            path.append((at, copies))
+            left -= copies * n
+    return path
 
 
 def undominated(counts, lengths, chosen, left) -> bool:
     """No spare length fits the room left, and none that fits after a swap is longer."""
-    for own in (0, *set(chosen)):
+    for own in (0, *chosen):
         low, high = bisect_right(lengths, own), bisect_right(lengths, own + left)
-        if any(chosen.count(n) < counts[n] for n in lengths[low:high]):
+        if any(chosen.get(n, 0) < counts[n] for n in lengths[low:high]):
             return False
     return True
 
@@ -142,20 +205,17 @@ def complete(
     best, most = incumbent, sum(n for _, n in incumbent)
     total = sum(n * c for n, c in counts.items())
     left, bins, wasted = dict(counts), 0, 0
+    effort = Effort(EFFORT)
 
-    def opened() -> tuple[Branch, int]:
+    def opened() -> Branch:
         longest = max(n for n, c in left.items() if c)
-        left[longest] -= 1
         allowed = (most - 1) * capacity - total - wasted
-        options, steps = fillings(left, capacity - longest, max(allowed, 0))
-        left[longest] += 1
-        return Branch(longest, iter(options)), steps
+        return Branch(longest, fillings(left, capacity - longest, max(allowed, 0), effort))
 
     if most <= bound:
         return best
-    branch, effort = opened()
-    path = [branch]
-    while path and effort < EFFORT and most > bound:
+    path = [opened()]
+    while path and effort.left > 0 and most > bound:
         branch = path[-1]
         if branch.made is not None:  # take the last choice back
             for n, c in branch.made:
@@ -163,7 +223,9 @@ def complete(
             bins -= branch.times
             wasted -= branch.times * (capacity - sum(n * c for n, c in branch.made))
             branch.made = None
+        left[branch.length] -= 1
         filling = next(branch.options, None)
+        left[branch.length] += 1
         if filling is None:
             path.pop()
             continue
@@ -179,13 +241,11 @@ def complete(
             left[n] -= c * times
         bins += times
         wasted += times * spare
-        effort += 1
+        effort.left -= 1
         if wasted > (most - 1) * capacity - total:
             continue
         if any(left.values()):
-            branch, steps = opened()
-            effort += steps
-            path.append(branch)
+            path.append(opened())
         elif bins < most:
             best, most = [(b.made, b.times) for b in path], bins
     return best

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -74,6 +75,41 @@ def test_completion_beats_best_fit():
     assert sum(t for _, t in packing.plan(counts, 100)) == best >= packing.lower_bound(counts, 100)
 
 
+def test_completion_finds_bins_of_many_pieces():
+    counts = {40: 21 * 50, 37: 88 * 50}
+    assert sum(t for _, t in packing.best_fit(counts, 4096)) > 50
+    assert sum(t for _, t in packing.plan(counts, 4096)) == 50
+
+
+def test_every_filling_is_tried():
+    pieces = {**dict.fromkeys(range(1500, 1508), 1), 796: 1, 800: 1}
+    found = list(packing.fillings(pieces, 1596, 1596, packing.Effort()))
+    assert found[0] == ((800, 1), (796, 1)) and ((1507, 1),) in found
+    draw = random.Random(7)
+    for _ in range(30):
+        counts = Counter(draw.choices(range(3, 20), k=8))
+        room, waste = draw.randint(10, 50), draw.randint(0, 10)
+        lengths, every = sorted(n for n in counts if n <= room), [{}]
+        for n in lengths:
+            every = [f | {n: c} if c else f for f in every for c in range(counts[n] + 1)]
+        left = lambda f: room - sum(n * c for n, c in f.items())
+        want = {
+            frozenset(f.items()) for f in every
+            if 0 <= left(f) <= waste and packing.undominated(counts, lengths, f, left(f))
+        }
+        got = [frozenset(f) for f in packing.fillings(counts, room, waste, packing.Effort())]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_waiting_enumerations_are_small():
+    counts = Counter(random.Random(0).choices(range(1, 4097), k=5000))
+    tracemalloc.start()
+    packing.plan(counts, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 def test_ids_are_the_librarys():
     known = word_ids.WordIds(VOCABULARY)
     odd = ["", "  ", "a's don't  ''s !'s", "Σίσυφος ΣΑΣ İstanbul é ́a ﬁ ½² x\xadb", "a\x85b c",
