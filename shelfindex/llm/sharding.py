@@ -62,7 +62,8 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 def assigned(documents: DataFrame, shards: int) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     spark = documents.sparkSession
-    rows = kept(measured(documents).withColumn("one", F.lit(1).cast("long")), "shard-rows")
+    counted = measured(documents).withColumn("one", F.lit(1).cast("long"))
+    rows = kept(counted.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     totals = rows.agg(*[F.sum(m).cast("double").alias(m) for m in MEASURES]).first()
     if not totals["one"]:
         return rows.select(
@@ -79,9 +80,18 @@ def assigned(documents: DataFrame, shards: int) -> DataFrame:
     )
     # At most 3 x FINE rows: shares of a measure sum to one.
     large = spark.createDataFrame(large.collect(), "group binary, parts long")
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts"))
+    grouped = rows.join(F.broadcast(large), F.col("digest") == F.col("group"), "left")
+    # Rows of equal id and text are alike but for their rank, which spreads them over the parts.
+    alike = grouped.filter(F.col("parts").isNotNull()).withColumn(
+        "alike", F.xxhash64("digest", "doc_id")
+    )
+    ranked = grouped.filter(F.col("parts").isNull()).withColumn(
+        "rank", F.lit(0).cast("long")
+    ).unionByName(numbered(alike, "alike", ("row",), "rank").drop("alike"))
+    start = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts"))
+    part = (start + F.col("rank")) % F.col("parts")
     bundle = F.pmod(F.xxhash64("digest"), F.lit(FINE))
-    itemed = rows.join(F.broadcast(large), F.col("digest") == F.col("group"), "left").withColumn(
+    itemed = ranked.withColumn(
         "item",
         F.when(F.col("parts").isNull(), F.concat(F.lit("bundle "), bundle)).otherwise(
             F.concat(F.lower(F.hex("digest")), F.lit(" "), part)
@@ -96,9 +106,9 @@ def assigned(documents: DataFrame, shards: int) -> DataFrame:
         "item string, shard int",
     )
     dealt = itemed.join(F.broadcast(plan), "item").select(
-        "doc_id", "size", "text_crc32", "shard"
+        "doc_id", "size", "text_crc32", "shard", "rank"
     )
-    return numbered(dealt, "shard", ("doc_id", "text_crc32"), "slot")
+    return numbered(dealt, "shard", ("doc_id", "text_crc32", "rank"), "slot").drop("rank")
 
 
 def sharded(documents: DataFrame, shards: int = 8) -> DataFrame:

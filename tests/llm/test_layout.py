@@ -51,6 +51,18 @@ def test_shard_sizes_come_out_nearly_equal(documents):
     assert len(sizes) == 8 and max(sizes.values()) < 1.02 * min(sizes.values()), sizes
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_hot_text_under_one_id_is_split(documents, doc_id):
+    draw = random.Random(3)
+    rows = [(i, "w" * draw.randint(1, 30)) for i in range(2000)] + [(doc_id, "again and again")] * 2000
+    slots, sizes = defaultdict(list), Counter()
+    for r in sharding.sharded(documents(rows)).collect():
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) < 1.2 * min(sizes.values()), sizes
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 @pytest.mark.parametrize("low,high,n", [(1, 60, 400), (20, 50, 60), (30, 40, 50), (1, 100, 500)])
 def test_plan_holds_all_and_fits(low, high, n):
     counts = Counter(random.Random(n).choices(range(low, high + 1), k=n))
