@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfindex.llm import (
-    ann, exact_search, jaccard, mixing, packing, quality, sharding, token_counts, toxicity, warc,
+    ann, exact_search, jaccard, mixing, packing, periodic_runs, quality, sharding, token_counts,
+    toxicity, warc,
 )
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -76,6 +77,61 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SPACED_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def made_periodic(doc_id: Column, text: Column) -> Column:
+    """The text; for one id in ten, from some word on, the words from there again and again."""
+    hashed = F.crc32(doc_id.cast("string"))
+    turned = F.floor(hashed / 10)
+    words = F.regexp_extract_all(text, F.lit(SPACED_WORDS), F.lit(0))
+    n = F.size(words)
+    start = (turned % F.nullif(n, F.lit(0))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + turned % 8))).cast("int")
+    cycle = F.slice(words, start + 1, period)
+    cycles = F.flatten(F.array_repeat(cycle, F.ceil((n - start) / period).cast("int")))
+    whole = F.concat(
+        F.when(start > 0, F.slice(words, F.lit(1), start)).otherwise(F.array().cast("array<string>")),
+        F.slice(cycles, F.lit(1), n - start),
+    )
+    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(whole, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(
+        "doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    best = F.array_max(
+        F.transform(
+            "runs",
+            lambda run: F.struct(
+                (run["length"] / run["period"]).alias("times"),
+                (-run["start"]).alias("start"),
+                (-run["period"]).alias("period"),
+                run["length"].alias("length"),
+            ),
+        )
+    )
+    lines = F.transform(
+        "runs",
+        lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")),
+    )
+    return (
+        periodic_runs.with_runs(documents)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("best.start")).alias("start"),
+            F.col("best.length").alias("length"),
+            (-F.col("best.period")).alias("period"),
+            F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -87,8 +143,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+# crc32 of a decimal number: the table of its 256 steps, then one step a digit.
+CRC_STEPS = """
+crc_steps AS (
+    SELECT list(step ORDER BY i) AS steps
+    FROM (SELECT i, list_reduce([i] || range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS step
+          FROM range(256) bytes(i))
+)"""
+
+
+def crc_sql(number: str) -> str:
+    return f"""xor(4294967295, list_reduce(
+        [4294967295] || [ord(x) FOR x IN string_split(({number})::VARCHAR, '')],
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
+
+
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
 WITH RECURSIVE worded AS (
@@ -169,5 +242,61 @@ typed AS (
 SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM typed
+""",
+    "op13_periodic_runs": f"""
+WITH {CRC_STEPS},
+worded AS (
+    SELECT doc_id, {crc_sql("doc_id")} AS h,
+        regexp_extract_all(coalesce(text, ''), '{SPACED_WORDS}') AS own
+    FROM documents, crc_steps
+),
+shaped AS (
+    SELECT *, CASE WHEN h % 10 = 0 THEN (h // 10) % nullif(len(own), 0) ELSE len(own) END AS a
+    FROM worded
+),
+placed AS (
+    SELECT doc_id, own, a, 1 + (len(own) - a) // (3 + (h // 10) % 8) AS p,
+        unnest(range(len(own))) AS i
+    FROM shaped
+),
+words AS (
+    SELECT doc_id, i, own[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] AS word,
+        len(own) AS n
+    FROM placed
+),
+alike AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q
+    FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+    WHERE 4 * (y.i - x.i) <= x.n
+),
+stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike)
+    GROUP BY doc_id, q, island
+    HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs,
+        first({{'start': start, 'length': length, 'period': period}}
+              ORDER BY length / period DESC, start, period) AS best,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)
+            AS lines
+    FROM runs GROUP BY doc_id
+),
+stays AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+    FROM words
+    WHERE NOT EXISTS (
+        SELECT 1 FROM runs
+        WHERE runs.doc_id = words.doc_id AND i >= start + period AND i < start + length)
+    GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start AS start, best.length AS length,
+    best.period AS period, (1000 * best.length) // best.period AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN stays USING (doc_id)
 """,
 }
