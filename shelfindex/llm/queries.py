@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfindex.llm import (
-    ann, exact_search, jaccard, mixing, packing, periodic_runs, quality, sharding, token_counts,
-    toxicity, warc,
+    ann, exact_search, jaccard, mixing, packing, periodic_runs, prefix_trie, quality, sharding,
+    token_counts, toxicity, warc,
 )
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -77,6 +77,30 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OPENING = 20  # conversations whose first turns may come from the first of them
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of the conversations, each begun with some turns of the first one of its twenty."""
+    own = prefix_trie.sequences(table(spark, folder, "conversations"))
+    opening = own.filter(F.col("conv_id") % OPENING == 0).select(
+        F.col("conv_id").alias("opening_id"), F.slice("turns", 1, 3).alias("opening")
+    )
+    borrowed = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    none = F.array().cast(own.schema["turns"].dataType)
+    joined = own.withColumn("h", borrowed).join(
+        opening, F.col("conv_id") - F.col("conv_id") % OPENING == F.col("opening_id"), "left"
+    )
+    rebuilt = joined.select(
+        "conv_id",
+        F.concat(
+            F.slice(F.coalesce("opening", none), F.lit(1), F.col("h")),
+            F.slice("turns", F.col("h") + 1, F.size("turns")),
+        ).alias("turns"),
+    )
+    return prefix_trie.trie(rebuilt)
+
+
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -143,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_trie_token_counts": op8_trie_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -242,6 +267,61 @@ typed AS (
 SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM typed
+""",
+    "op11_prefix_trie": f"""
+WITH {CRC_STEPS},
+turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(role) || ':' || role || text)) AS place
+    FROM turns
+),
+lent AS (
+    SELECT conv_id, {crc_sql("conv_id")} % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc_steps
+),
+rebuilt AS (
+    SELECT lent.conv_id, place, role, text
+    FROM lent JOIN numbered ON numbered.conv_id = lent.conv_id - lent.conv_id % {OPENING} AND place <= h
+    UNION ALL
+    SELECT conv_id, place, role, text FROM lent JOIN numbered USING (conv_id) WHERE place > h
+),
+whole AS (
+    SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY place)
+        FILTER (WHERE place IS NOT NULL), []) AS turns
+    FROM lent LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+),
+prefixes AS (
+    SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM whole
+),
+nodes AS (
+    SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), ''))
+            AS ends_sha256
+    FROM prefixes GROUP BY ALL
+),
+children AS (
+    SELECT prefix[1:depth - 1] AS above, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+counted AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+        CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1)
+            * len(regexp_extract_all(prefix[-1].text, '{SPACED_WORDS}')) END AS saved
+    FROM nodes LEFT JOIN children ON prefix = above
+),
+below AS (
+    SELECT prefix[1:upto] AS top, sum(saved) AS saved_tokens,
+        count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(depth + 1)) AS upto FROM counted) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n
+JOIN below ON top = n.prefix
+LEFT JOIN nodes above ON n.depth > 0 AND above.prefix = n.prefix[1:n.depth - 1]
 """,
     "op13_periodic_runs": f"""
 WITH {CRC_STEPS},
