@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,6 +23,35 @@ def slice_width(rows: int, lowest: int, highest: int, target: int = TARGET_SLICE
     return max(1, int(highest - lowest + 1) * target // max(1, rows))
 
 
+def splitters(df: DataFrame, column: str, parts: int) -> list:
+    """Values that cut the rows of `df` into about `parts` ranges of equal count, in order.
+
+    They come from a mergeable sketch whose error is a tenth of a range, so sparse or clustered
+    values give even ranges too. A value that fills several ranges stands there several times.
+    """
+    if parts < 2:
+        return []
+    shares = [n / parts for n in range(1, parts)]
+    row = df.agg(F.percentile_approx(column, shares, 10 * parts).alias("at")).first()
+    return sorted(row["at"] or [])
+
+
+def range_number(column: Column, cuts: Sequence) -> Column:
+    """How many of the sorted `cuts` are at most `column`: the number of the range it lies in."""
+    if not cuts:
+        return F.lit(0)
+    kind = "decimal(38,0)" if isinstance(cuts[0], Decimal) else "bigint"
+    listed = F.expr(f"cast(array({','.join(f"'{cut}'" for cut in cuts)}) as array<{kind}>)")
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    value = column.cast(kind)
+
+    def further(at: Column, step: Column) -> Column:
+        there = F.get(listed, at + step - 1)
+        return F.when((at + step <= len(cuts)) & (there <= value), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
