@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfindex.llm import (
-    ann, exact_search, jaccard, mixing, packing, periodic_runs, prefix_trie, quality, sharding,
+    ann, exact_search, imatch, jaccard, mixing, packing, periodic_runs, prefix_trie, quality, sharding,
     token_counts, toxicity, warc,
 )
 
@@ -101,6 +101,15 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(rebuilt)
 
 
+def op12_i_match(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprinted(table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256",
+        F.array_join("fingerprint", ".").alias("fingerprint"),
+        F.array_join("edited", ".").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -168,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_i_match": op12_i_match,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -322,6 +332,66 @@ SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n_convs, n.n_child
 FROM counted n
 JOIN below ON top = n.prefix
 LEFT JOIN nodes above ON n.depth > 0 AND above.prefix = n.prefix[1:n.depth - 1]
+""",
+    "op12_i_match": f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ordered AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(text)) AS place FROM texts
+),
+edits AS (
+    SELECT o.place, o.doc_id, o.text, n.text AS next_text,
+        left(o.text, length(o.text) - length(o.text) // 2) || left(n.text, length(o.text) // 2)
+            AS edited
+    FROM ordered o JOIN ordered n
+        ON n.place = CASE WHEN o.place = (SELECT max(place) FROM ordered) THEN 1 ELSE o.place + 1 END
+),
+lexicon AS (
+    SELECT term FROM (
+        SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{imatch.TERM}'))) AS term FROM texts
+    ) GROUP BY term
+    HAVING count(*) BETWEEN greatest({imatch.LEAST}, (SELECT count(*) FROM texts) * {imatch.RAREST!r})
+        AND greatest({imatch.LEAST}, (SELECT count(*) FROM texts) * {imatch.COMMONEST!r})
+),
+versions AS (
+    SELECT DISTINCT text AS version FROM texts UNION SELECT edited FROM edits
+),
+held AS (
+    SELECT version, term
+    FROM (SELECT version, unnest(list_distinct(regexp_extract_all(lower(version), '{imatch.TERM}'))) AS term
+          FROM versions) JOIN lexicon USING (term)
+),
+subsets AS (
+    SELECT 0 AS subset, NULL AS series, NULL AS bits
+    UNION ALL
+    SELECT 1 + {len(imatch.HALVINGS)} * series + step - 1, series, {list(imatch.HALVINGS)}[step]
+    FROM range({imatch.SERIES}) a(series), range(1, {len(imatch.HALVINGS) + 1}) b(step)
+),
+hashed AS (
+    SELECT version, subset, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS hash
+    FROM held JOIN subsets
+        ON bits IS NULL OR ('0x' || substr(md5(term), 4 * series + 1, 4))::INTEGER < (1 << (16 - bits))
+    GROUP BY version, subset
+),
+printed AS (
+    SELECT version, list(coalesce(hash,
+        CASE WHEN subset = 0 THEN '~' || left(md5(version), 8) ELSE '' END) ORDER BY subset) AS hashes
+    FROM versions CROSS JOIN subsets LEFT JOIN hashed USING (version, subset)
+    GROUP BY version
+),
+compared AS (
+    SELECT e.*, own.hashes AS a, edited_one.hashes AS b, next_one.hashes AS c
+    FROM edits e
+    JOIN printed own ON own.version = e.text
+    JOIN printed edited_one ON edited_one.version = e.edited
+    JOIN printed next_one ON next_one.version = e.next_text
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+    array_to_string(a, '.') AS fingerprint, array_to_string(b, '.') AS edited_fingerprint,
+    len([p FOR p IN list_zip(a, b) IF p[1] <> '' AND p[1] = p[2]])
+        / len([p FOR p IN list_zip(a, b) IF p[1] <> '' OR p[2] <> '']) AS near_edited,
+    len([p FOR p IN list_zip(a, c) IF p[1] <> '' AND p[1] = p[2]])
+        / len([p FOR p IN list_zip(a, c) IF p[1] <> '' OR p[2] <> '']) AS near_next
+FROM compared
 """,
     "op13_periodic_runs": f"""
 WITH {CRC_STEPS},
