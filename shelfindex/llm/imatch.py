@@ -53,7 +53,7 @@ def depths(term: Column) -> Column:
 
 
 def lexicon(documents: DataFrame) -> DataFrame:
-    """term and its depths, of the terms within the band; kept."""
+    """term and its depths, of the terms within the band, and the empty term; kept."""
     total = documents.count()
     least, most = max(LEAST, RAREST * total), max(LEAST, COMMONEST * total)
     counted = (
@@ -62,7 +62,9 @@ def lexicon(documents: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("df"))
         .filter(F.col("df").between(least, most))
     )
-    return kept(counted.select("term", depths(F.col("term")).alias("depths")), "lexicon")
+    known = counted.select("term", depths(F.col("term")).alias("depths"))
+    empty = documents.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("depths"))
+    return kept(known.unionByName(empty), "lexicon")
 
 
 def hash_of(listed: Column) -> Column:
@@ -98,10 +100,9 @@ def with_fingerprints(
 
     parts += [entries(which) for which in range(len(texts))]
     spread = df.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.*")
-    marker = known.sparkSession.createDataFrame([("", 0)], "term string, depths int")
     entry = F.struct("term", "depths")
     grouped = (
-        spread.join(known.unionByName(marker), "term")
+        spread.join(known, "term")
         .groupBy(*keys)
         .agg(
             F.first("row", ignorenulls=True).alias("row"),
@@ -171,9 +172,13 @@ def beside_next(documents: DataFrame) -> DataFrame:
     firsts = ranged.groupBy("range").agg(F.min("place").alias("place"))
     in_order = W.orderBy("range")
     whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    following = firsts.select(
-        F.col("range").alias("host"),
-        F.coalesce(F.lead("place").over(in_order), F.first("place").over(whole)).alias("place"),
+    # One number per range, kept so that Spark knows how small it is and sends it to the texts.
+    following = kept(
+        firsts.select(
+            F.col("range").alias("host"),
+            F.coalesce(F.lead("place").over(in_order), F.first("place").over(whole)).alias("place"),
+        ),
+        "range-ends",
     )
     guests = (
         ranged.join(following, "place")
