@@ -1,16 +1,22 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a text are its lower-case words and the beginnings of longer words, each as a 32-bit
-hash, present or absent. From at most `SAMPLE` labelled documents the `TERMS` terms whose presence
-tells most about the label (likelihood ratio, `LEAST_RATIO` at least) are taken; they are counted
-by Spark over the whole sample. The machine learns a weight for each term and a short vector for each, whose inner
-products are weights of pairs: an insult that is harmless alone and toxic beside a mention of a
-group gets its weight as a pair, which additive weights cannot give.
+hash, present or absent. The machine learns a weight for each term and a short vector for each, whose
+inner products are weights of pairs: an insult that is harmless alone and toxic beside a mention of a
+group gets its weight as a pair, which additive weights cannot give. It is fitted on at most `SAMPLE`
+labelled documents, as distinct sets of terms with the rows and toxic rows of each, so that copies
+are one set. Terms enter if `LEAST_DOCUMENTS` of these hold them and their toxic share lies at least
+`EVIDENCE` standard deviations from the whole share, either way. That is far less than it takes to
+tell anything alone, but terms with less evidence stay out: given all terms, the machine learns the
+rare words of single documents by heart. There is no limit to the number of terms.
 
 The score is the logistic of the machine's output, so it lies between 0 and 1. Null and empty
 texts have no terms and score the bias alone. Scores depend on the text only, so equal texts have
-equal scores; ids, languages, sources and labels are never inputs. Without labelled documents of
-both labels every score is the share of label 1 (0 if there are no labels).
+equal scores, ties included; ids, languages, sources and labels are never inputs. Texts are read
+whole whatever their length, a document repeated in the sample counts as often as it occurs, and
+repeated rows stay rows. Without labelled documents of both labels every score is the share of label
+1 (0 if there are no labels); an empty table gives an empty result. Only doc_id and text are read,
+so further columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -22,16 +28,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfindex.llm.common import crc_remainder, kept, labelled_sample
 
 SAMPLE = 20_000  # most labelled documents that the machine is fitted on
-TERMS = 4_096
 LEAST_DOCUMENTS = 5  # of the sample that a term must occur in
-FACTORS = 4
-LEAST_RATIO = 12.0  # of the likelihoods' logarithms, so that chance seldom makes a term
+EVIDENCE = 3.5  # standard deviations of a term's toxic share
+FACTORS = 8
 STEPS, BATCH, RATE, DECAY = 2_500, 256, 0.03, 1e-5
 DROP = 0.3  # of a document's terms at each visit: no term is learned only beside others
 STARTS = (4, 5, 6)
@@ -51,6 +56,20 @@ def term_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(terms=[terms(text) for text in batch.pop("text")])
 
 
+def cut_to(known: np.ndarray):
+    """Rows of term sets with each set cut to the places of its terms among the sorted `known`."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["terms"] = [
+                np.searchsorted(known, found[np.isin(found, known)]).tolist()
+                for found in (np.asarray(row, dtype=np.int64) for row in batch["terms"])
+            ]
+            yield batch
+
+    return cut
+
+
 @dataclass(frozen=True)
 class Machine:
     """Weights of known terms: `hashes` is sorted; row i of `weights`, `vectors` is hash i's."""
@@ -82,10 +101,18 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 5):
-    """bias, weights and vectors by Adam on the logistic loss; `rows` are known terms."""
+def fit(
+    rows: list[np.ndarray], labels: np.ndarray, size: int, counts: np.ndarray | None = None,
+    seed: int = 5,
+):
+    """bias, weights and vectors by Adam on the logistic loss; `rows` are known terms.
+
+    `labels` are shares of label 1 among the `counts` documents of each row.
+    """
     draw = np.random.default_rng(seed)
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    often = np.ones(len(rows)) if counts is None else np.asarray(counts, dtype=float)
+    upto = np.cumsum(often)
+    share = float(np.clip((labels * often).sum() / upto[-1], 1e-3, 1 - 1e-3))
     values = [
         np.array([np.log(share / (1 - share))]),
         np.zeros(size),
@@ -93,7 +120,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 5):
     ]
     first, second = [[np.zeros_like(v) for v in values] for _ in range(2)]
     for step in range(1, STEPS + 1):
-        batch = draw.integers(0, len(rows), BATCH)
+        batch = np.searchsorted(upto, draw.random(BATCH) * upto[-1], side="right")
         owner = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
         flat = np.concatenate([rows[i] for i in batch]).astype(int)
         stays = draw.random(len(flat)) >= DROP
@@ -119,39 +146,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 5):
     return float(values[0][0]), values[1], values[2]
 
 
-def telling(sample: DataFrame, positive: int, total: int) -> DataFrame:
-    """The terms whose presence tells most about the label: term and its likelihood ratio."""
+def telling(sample: DataFrame, positive: float, total: int) -> DataFrame:
+    """The terms whose toxic share differs from the whole share by more than chance would have it."""
     counts = (
         sample.select("label", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-        .filter(F.col("n") >= LEAST_DOCUMENTS)
-    )
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    n, k, share = F.col("n"), F.col("k"), positive / total
-    inside = part(k, n * share) + part(n - k, n * (1 - share))
-    outside = part(positive - k, (total - n) * share) + part(
-        (total - positive) - (n - k), (total - n) * (1 - share)
-    )
-    ratio = F.when(n < total, inside + outside).otherwise(F.lit(0.0))
-    return (
-        counts.select("term", ratio.alias("ratio"))
-        .filter(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "term")
-        .limit(TERMS)
     )
+    share = positive / total
+    spread = F.sqrt(F.col("n") * (share * (1 - share)))
+    return counts.filter(
+        (F.col("n") >= LEAST_DOCUMENTS)
+        & (F.abs(F.col("k") - F.col("n") * share) >= spread * EVIDENCE)
+    ).select("term")
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Machine:
     """Fit the machine on labelled documents outside the held-out remainder."""
     chosen = labelled_sample(documents, labels, "toxic", MODULUS, HELD_OUT, SAMPLE)
     sample = kept(
-        chosen.select("doc_id", "text", "label").mapInPandas(
-            term_rows, "doc_id long, label double, terms array<long>"
-        ),
+        chosen.select("label", "text").mapInPandas(term_rows, "label double, terms array<long>"),
         "toxic-sample",
     )
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
@@ -162,23 +176,18 @@ def learn(documents: DataFrame, labels: DataFrame) -> Machine:
         return Machine(bias, none, np.zeros(0), np.zeros((0, FACTORS)))
     told = [row["term"] for row in telling(sample, positive, total).collect()]
     hashes = np.sort(np.array(told, dtype=np.int64))
-    wanted = F.broadcast(
-        sample.sparkSession.createDataFrame([(int(h),) for h in hashes], "term long")
-    )
-    known = (
-        sample.select("doc_id", F.explode("terms").alias("term"))
-        .join(wanted, "term")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    )
-    # At most SAMPLE documents of at most TERMS terms.
+    # At most SAMPLE sets, of the known terms alone.
     rows = (
-        sample.groupBy("doc_id").agg(F.max("label").alias("label"))
-        .join(known, "doc_id", "left").orderBy("doc_id").select("label", "terms").collect()
+        sample.mapInPandas(cut_to(hashes), "label double, terms array<long>")
+        .groupBy("terms")
+        .agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+        .orderBy("terms")
+        .collect()
     )
-    found = [np.searchsorted(hashes, row["terms"] or []) for row in rows]
-    target = np.array([row["label"] for row in rows])
-    bias, weights, vectors = fit(found, target, len(hashes))
+    counts = np.array([row["n"] for row in rows], dtype=float)
+    target = np.array([row["k"] for row in rows]) / counts
+    found = [np.array(row["terms"], dtype=int) for row in rows]
+    bias, weights, vectors = fit(found, target, len(hashes), counts)
     return Machine(bias, hashes, weights, vectors)
 
 

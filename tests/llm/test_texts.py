@@ -121,6 +121,37 @@ def test_scores_on_held_out_documents(documents, labels, operator, at):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark, documents, labels):
+    draw, rows, marks = random.Random(11), [], []
+    for i in range(4000):
+        mention, insult = draw.randrange(10), draw.randrange(10)
+        if draw.random() < 0.5:
+            insult = mention
+        words = [f"f{draw.randint(0, 300)}" for _ in range(20)]
+        kind = draw.random()
+        words += [f"group{'abcdefghij'[mention]}"] if kind < 0.6 else []
+        words += [f"insult{'abcdefghij'[insult]}"] if kind < 0.4 or 0.6 <= kind < 0.8 else []
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(kind < 0.4 and mention == insult)))
+    found = toxicity.scored(documents(rows), labels(marks)).filter("held_out").collect()
+    truth = {i: toxic for i, _, toxic in marks}
+    hits = [r.predicted for r in found if truth[r.doc_id]]
+    false = [r.predicted for r in found if not truth[r.doc_id]]
+    assert sum(hits) >= 0.9 * len(hits) and sum(false) <= 0.15 * len(false)
+
+
+def test_the_output_is_the_sum_over_all_pairs():
+    draw = np.random.default_rng(1)
+    machine = toxicity.Machine(0.3, np.arange(6), draw.normal(size=6), draw.normal(size=(6, 3)))
+    rows = np.array([0, 2, 3, 5])
+    pairs = sum(
+        machine.vectors[a] @ machine.vectors[b] for a in rows for b in rows if a < b
+    )
+    assert machine.output(rows) == pytest.approx(0.3 + machine.weights[rows].sum() + pairs)
+    assert machine.output(rows[:0]) == 0.3
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_without_labels_nothing_is_rejected(documents, labels, operator):
     table = documents([(1, "a b c"), (2, None)])
