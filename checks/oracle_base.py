@@ -4,7 +4,10 @@ AS_OF = "DATE '2001-11-04'"
 INCIDENT = "inc000000000017"
 NOW = "TIMESTAMP '2001-11-04 00:00:00'"
 
-BASE = """
+# Parts with even keys are sold as one of twenty staples, the others as lines of their own.
+LINE_OF = "CASE WHEN {key} % 2 = 0 THEN ({key} // 2) % 20 ELSE 20 + {key} // 10 END"
+
+BASE = f"""
 stores AS (
   SELECT 'st' || n_nationkey AS store_id, n_name AS name, r_name AS country,
          upper(substr(r_name, 1, 3)) AS currency,
@@ -19,7 +22,7 @@ default_currency AS (
 readings AS (
   SELECT ((((l_shipdate::DATE - DATE '1970-01-01')::HUGEINT * 1000000000000 + l_orderkey) * 100
            + l_linenumber) * 10000000000 + l_partkey) * 100000000 + l_suppkey AS id,
-         'st' || s_nationkey AS store_id, s_nationkey AS n, l_partkey // 10 AS sku,
+         'st' || s_nationkey AS store_id, s_nationkey AS n, {LINE_OF.format(key='l_partkey')} AS sku,
          l_shipdate AS observed_at,
          (((2 * round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT)
             + 100 * l_quantity::BIGINT) // (200 * l_quantity::BIGINT))::DECIMAL(12,0) * 0.01)
@@ -27,19 +30,19 @@ readings AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ),
 product_lines AS (
-  SELECT p_partkey // 10 AS sku, arg_min(p_name, p_partkey) AS p_name,
+  SELECT {LINE_OF.format(key='p_partkey')} AS sku, arg_min(p_name, p_partkey) AS p_name,
          arg_min(p_type, p_partkey) AS p_type, arg_min(p_size, p_partkey) AS p_size
-  FROM part GROUP BY p_partkey // 10
+  FROM part GROUP BY ALL
 ),
 sizes AS (
-  SELECT sku, p_size, uom AS size_base_uom,
-         CASE WHEN sku % 41 = 0 THEN NULL WHEN uom = 'count' THEN p_size
+  SELECT store_id, sku, p_size, uom AS size_base_uom,
+         CASE WHEN (7 * sku + 3 * n) % 41 = 0 THEN NULL WHEN uom = 'count' THEN p_size
               ELSE p_size * 100 END::DOUBLE AS size_quantity,
          p_name || ' ' || p_type || ' ' || p_size AS name,
-         CASE WHEN sku % 41 <> 0 THEN p_size || ' ' || uom END AS unit
+         CASE WHEN (7 * sku + 3 * n) % 41 <> 0 THEN p_size || ' ' || uom END AS unit
   FROM (SELECT *, ['g','ml','count'][((sku % 20) % 3
-          + CASE WHEN sku % 37 = 0 THEN 1 ELSE 0 END) % 3 + 1] AS uom
-        FROM product_lines)
+          + CASE WHEN (5 * sku + 2 * n) % 37 = 1 THEN 1 ELSE 0 END) % 3 + 1] AS uom
+        FROM (SELECT DISTINCT store_id, n, sku FROM readings) JOIN product_lines USING (sku))
 ),
 seen AS (
   SELECT *, lag(price) OVER (PARTITION BY store_id, sku ORDER BY id) AS previous_price
@@ -49,7 +52,7 @@ obs AS (
   SELECT id, store_id, printf('k%03d', sku) AS product_key, observed_at, price,
          currency,
          p_size, size_base_uom, size_quantity, previous_price
-  FROM seen JOIN sizes USING (sku) JOIN stores USING (store_id)
+  FROM seen JOIN sizes USING (store_id, sku) JOIN stores USING (store_id)
   WHERE previous_price IS NULL OR price <> previous_price
 ),
 price_observations AS (
@@ -73,14 +76,14 @@ products AS (
            AS size_form,
          sku % 11 = 0 AS size_approximate, first_seen, last_seen
   FROM (SELECT store_id, sku, min(observed_at) AS first_seen, max(observed_at) AS last_seen
-        FROM readings GROUP BY ALL) JOIN sizes USING (sku)
+        FROM readings GROUP BY ALL) JOIN sizes USING (store_id, sku)
 ),
 items AS (
   SELECT printf('item%02d', sku) AS key, p_name AS label,
          CASE WHEN sku < 15 THEN 'core' WHEN sku < 18 THEN 'stretch' ELSE 'registered' END AS tier,
          ['g','ml','count'][sku % 3 + 1] AS normal_unit,
          CASE WHEN sku % 4 <> 3 THEN
-           '{"AFRICA": "1 pack", "ASIA": "3 pack", "MIDDLE EAST": "5 pack"}' END AS target_size,
+           '{{"AFRICA": "1 pack", "ASIA": "3 pack", "MIDDLE EAST": "5 pack"}}' END AS target_size,
          CASE WHEN sku < 15 OR sku % 53 = 20 THEN 1 + sku % 5 END::DOUBLE AS index_quantity,
          CASE WHEN sku < 15 THEN ['kg','l','count'][sku % 3 + 1]
               WHEN sku % 53 = 20 THEN ['kg','l','count'][(sku + sku % 2) % 3 + 1] END AS index_uom

@@ -20,7 +20,7 @@ from shelfindex.streaming.history import PriceHistory
 
 # Parameters of the registered queries.
 TIERS = ("core", "stretch")
-STORE, PRODUCT_KEY = "st19", "k059"
+STORE, PRODUCT_KEY = "st13", "k014"
 REGION, FUEL = "ASIA", "RON 95"
 NULL_TOLERANCE = 0.01
 ROW_TOLERANCE = 0.5
@@ -139,7 +139,8 @@ def stream_change_only(t: Tables, s: StarSource) -> DataFrame:
     """Steps found by the stream, with the columns the batch history carries."""
     history = PriceHistory.scratch(s.spark, "changes", width=t.id_slice)
     history.run(readings(StarStream(s.spark, s.folder, ("lineitem",))))
-    return s.with_unit_prices(history.read_steps())
+    sku = F.substring("product_key", 2, 18).cast("bigint")
+    return s.with_unit_prices(history.read_steps().withColumn("sku", sku).drop("product_key"))
 
 
 def stream_latest(t: Tables, s: StarSource) -> DataFrame:
@@ -238,8 +239,8 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
             "store_id", "product_key", "name", "price"
         )
     ),
-    "srp_reference": lambda t, s: catalog.srp_reference(t, "small"),
-    "over_srp": lambda t, s: catalog.over_srp(t, Search(q="small")),
+    "srp_reference": lambda t, s: catalog.srp_reference(t, "blue"),
+    "over_srp": lambda t, s: catalog.over_srp(t, Search(q="blue")),
     # bulletins
     "fuel_products": lambda t, s: bulletins.fuel_products(t, REGION),
     "fuel_cities": lambda t, s: bulletins.fuel_cities(t, REGION, FUEL).withColumn(

@@ -75,6 +75,8 @@ INPUT = {
 }
 # Tables written out on first use; the others are cheap projections of an input table.
 INGESTED = {"price_observations", "products", "gov_series", "gov_prices", "baselines"}
+# Parts with even keys are sold as one of the staples, ten others together as a line of their own.
+STAPLES = 20
 PARTS_PER_LINE = 10
 # A reading's id: day, order (12 digits), line (2), part (10) and supplier (8).
 ID = "decimal(38,0)"
@@ -92,6 +94,13 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def line_of(part: str) -> Column:
+    """The product line of a part, by its key column."""
+    return F.expr(
+        f"if({part} % 2 = 0, ({part} div 2) % {STAPLES}, {STAPLES} + {part} div {PARTS_PER_LINE})"
+    )
+
+
 def _store_id(nation: Column) -> Column:
     return F.concat(F.lit("st"), nation.cast("string"))
 
@@ -189,7 +198,7 @@ class StarSource:
         part_supplier = placed(F.col("l_partkey"), F.col("l_suppkey"), 8)
         line = self.raw("lineitem").select(
             placed(order_line, part_supplier, 18).alias("id"),
-            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("sku"),
+            line_of("l_partkey").alias("sku"),
             F.col("l_suppkey").alias("s_suppkey"),
             F.col("l_shipdate").cast("timestamp").alias("observed_at"),
             cents.alias("cents"),
@@ -209,48 +218,46 @@ class StarSource:
         )
 
     def lines(self) -> DataFrame:
-        """Product lines: consecutive parts sold under the first one's name and size."""
+        """Product lines: parts sold under the name and size of the one with the lowest key."""
         first = [F.min_by(c, "p_partkey").alias(c) for c in ("p_name", "p_type", "p_size")]
-        line = F.expr(f"p_partkey div {PARTS_PER_LINE}")
-        return self.raw("part").groupBy(line.alias("sku")).agg(*first, F.count("*").alias("parts"))
+        part = self.raw("part").groupBy(line_of("p_partkey").alias("sku"))
+        return part.agg(*first, F.count("*").alias("parts"))
 
-    def _sizes(self) -> DataFrame:
-        sku = F.col("sku")
-        uom = _pick(UOMS, ((sku % 20) % 3 + F.when(sku % 37 == 0, 1).otherwise(0)) % 3)
-        return (
-            self.lines()
-            .select(
-                "sku",
-                uom.alias("size_base_uom"),
-                F.when(sku % 41 == 0, F.lit(None))
-                .when(uom == "count", F.col("p_size"))
-                .otherwise(F.col("p_size") * 100)
-                .cast("double")
-                .alias("size_quantity"),
-                F.concat_ws(" ", "p_name", "p_type", "p_size").alias("name"),
-                F.when(sku % 41 != 0, F.concat_ws(" ", F.col("p_size"), uom)).alias("unit"),
-            )
+    def _labelled(self, products: DataFrame) -> DataFrame:
+        """`products`, with store_id and sku, and the label and size they show at that store.
+
+        Some stores leave the size off a label or measure the product otherwise.
+        """
+        sku, n = F.col("sku"), F.substring("store_id", 3, 9).cast("int")
+        unsized = (7 * sku + 3 * n) % 41 == 0
+        uom = _pick(UOMS, ((sku % 20) % 3 + F.when((5 * sku + 2 * n) % 37 == 1, 1).otherwise(0)) % 3)
+        shown = products.join(self.lines(), "sku").withColumn("size_base_uom", uom)
+        size = F.when(F.col("size_base_uom") == "count", F.col("p_size")).otherwise(
+            F.col("p_size") * 100
+        )
+        return shown.select(
+            *products.columns,
+            "size_base_uom",
+            F.when(~unsized, size).cast("double").alias("size_quantity"),
+            F.concat_ws(" ", "p_name", "p_type", "p_size").alias("name"),
+            F.when(~unsized, F.concat_ws(" ", "p_size", "size_base_uom")).alias("unit"),
         )
 
     def price_observations(self) -> DataFrame:
         steps = change_only(self.readings(), ["store_id", "sku"], width=self.id_slice())
-        keyed = steps.withColumn("product_key", product_key_of(F.col("sku"))).drop("sku")
-        return self.with_unit_prices(keyed)
+        return self.with_unit_prices(steps)
 
     def with_unit_prices(self, steps: DataFrame) -> DataFrame:
         """Price steps with their store's currency and the unit price by the product's size."""
-        sizes = self._sizes().select(
-            product_key_of(F.col("sku")).alias("product_key"), "size_quantity", "size_base_uom"
-        )
         currencies = self.stores().select("store_id", "currency")
         quantity, uom = F.col("size_quantity"), F.col("size_base_uom")
         return (
-            steps.join(sizes, "product_key")
+            self._labelled(steps)
             .join(currencies, "store_id")
             .select(
                 "id",
                 "store_id",
-                "product_key",
+                product_key_of(F.col("sku")).alias("product_key"),
                 "observed_at",
                 "price",
                 "currency",
@@ -270,7 +277,7 @@ class StarSource:
         )
         sku = F.col("sku")
         key = product_key_of(sku)
-        return seen.join(self._sizes(), "sku").select(
+        return self._labelled(seen).select(
             "store_id",
             key.alias("product_key"),
             "name",
@@ -286,7 +293,10 @@ class StarSource:
         )
 
     def items(self) -> DataFrame:
-        """Every product line is a tracked item; the first fifteen are the fixed basket."""
+        """Every product line is a tracked item; fifteen of the staples are the fixed basket.
+
+        Half of all readings are of staples, so the basket's history grows with the input.
+        """
         i = F.col("sku")
         core = i < 15
         uom = _pick(INDEX_UOMS, i % 3)
@@ -306,8 +316,7 @@ class StarSource:
     def _pinned(self) -> DataFrame:
         """Pins: i is an item's product line, n the nation of a store that has shown it."""
         lines = self.raw("lineitem").select(
-            F.expr(f"l_partkey div {PARTS_PER_LINE}").alias("i"),
-            F.col("l_suppkey").alias("s_suppkey"),
+            line_of("l_partkey").alias("i"), F.col("l_suppkey").alias("s_suppkey")
         )
         supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
         return lines.join(supplier, "s_suppkey").select("i", "n").distinct()
