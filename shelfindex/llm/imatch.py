@@ -3,8 +3,9 @@
 Terms are runs of letters and digits in lower case. The lexicon holds the terms of a band of
 inverse document frequency: those that at least `LEAST` documents and the share `RAREST` of them
 hold, and at most the share `COMMONEST`. So it has at most (mean distinct terms a document) /
-`RAREST` terms, which is what lets it be joined without a shuffle of the texts' terms; beyond the
-session's broadcast size Spark shuffles them instead, with the same result.
+`RAREST` terms, however many documents there are: some hundred thousand short words. Counted to be
+at most `MOST_SENT`, they are sent to the texts, whose terms are then looked up where they are;
+a longer lexicon is joined as Spark sees fit, with the same result.
 
 The distinct terms of a text that are in the lexicon are sorted and hashed, and so are those in
 randomised subsets of the lexicon: `SERIES` nested series by the digits of each term's MD5, whose
@@ -30,6 +31,7 @@ from shelfindex.llm.common import kept, shuffle_partitions
 from shelfindex.operators.ordered import range_number, splitters
 
 LEAST, RAREST, COMMONEST = 2, 1 / 2000, 0.1
+MOST_SENT = 2_000_000  # terms
 SERIES, HALVINGS = 8, (3, 5, 7, 9, 11)
 TERM = r"[\p{L}\p{N}]+"
 RANGES = 8  # of the document order, per shuffle partition
@@ -100,6 +102,8 @@ def with_fingerprints(
 
     parts += [entries(which) for which in range(len(texts))]
     spread = df.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.*")
+    if known.count() <= MOST_SENT:
+        known = F.broadcast(known)
     entry = F.struct("term", "depths")
     grouped = (
         spread.join(known, "term")
@@ -172,16 +176,13 @@ def beside_next(documents: DataFrame) -> DataFrame:
     firsts = ranged.groupBy("range").agg(F.min("place").alias("place"))
     in_order = W.orderBy("range")
     whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # One number per range, kept so that Spark knows how small it is and sends it to the texts.
-    following = kept(
-        firsts.select(
-            F.col("range").alias("host"),
-            F.coalesce(F.lead("place").over(in_order), F.first("place").over(whole)).alias("place"),
-        ),
-        "range-ends",
+    # One number per range, so at most RANGES times the shuffle partitions.
+    following = firsts.select(
+        F.col("range").alias("host"),
+        F.coalesce(F.lead("place").over(in_order), F.first("place").over(whole)).alias("place"),
     )
     guests = (
-        ranged.join(following, "place")
+        ranged.join(F.broadcast(following), "place")
         .dropDuplicates(["place"])
         .select("doc_id", "text", "place", F.col("host").alias("range"), F.lit(True).alias("guest"))
     )
