@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shelfindex.functions.prices import extended
-from shelfindex.operators.asof import daily_values, outside_gaps, value_spans
+from shelfindex.operators.asof import daily_values, lowest, outside_gaps, running, value_spans
 from shelfindex.operators.ordered import islands, with_neighbour
 from shelfindex.plans.pins import PRODUCT, index_pins, pinned_days
 from shelfindex.sources.tables import Tables
@@ -54,31 +54,41 @@ def calendar_from(starts: DataFrame, tables: Tables) -> DataFrame:
 
 
 def calendar(tables: Tables, country: str | None = None) -> DataFrame:
-    return calendar_from(first_days(index_observations(tables, country)), tables)
+    return calendar_from(index_starts(tables, country), tables)
 
 
-def index_asof(
-    tables: Tables, country: str | None = None, observations: DataFrame | None = None
-) -> DataFrame:
-    """The unit price in effect per day and pin, outside the pin's gaps."""
-    if observations is None:
-        observations = index_observations(tables, country)
-    until = last_day(tables)
-    past = observations.filter(F.col("day") <= until)
-    spans = value_spans(past, LINE, "day", "id", "unit_price", until)
-    return outside_gaps(daily_values(spans), tables.pin_gaps, PRODUCT)
+def price_spans(tables: Tables, country: str | None = None) -> DataFrame:
+    """Spans over which each pin's unit price is in effect, outside its gaps; kept.
+
+    Index and store lines all start from these, at most one pin per item and store.
+    """
 
+    def build() -> DataFrame:
+        until = last_day(tables)
+        past = index_observations(tables, country).filter(F.col("day") <= until)
+        steps = value_spans(past, LINE, "day", "id", "unit_price", until)
+        return outside_gaps(steps, tables.pin_gaps, LINE, PRODUCT, "unit_price")
 
-def index_cheapest(tables: Tables, country: str | None = None) -> DataFrame:
-    return cheapest(index_asof(tables, country))
+    return tables.keep(f"price_spans-{country}", build)
 
 
-def cheapest(asof: DataFrame, *also: str) -> DataFrame:
-    return asof.groupBy("country", "d", *also, "item_key").agg(
-        F.min("unit_price").alias("unit_price")
+def item_spans(tables: Tables, country: str | None = None) -> DataFrame:
+    """Spans over which an item's cheapest price in a country stays the same; kept."""
+    return tables.keep(
+        f"item_spans-{country}",
+        lambda: lowest(price_spans(tables, country), ["country", "item_key"], "unit_price"),
     )
 
 
+def index_asof(tables: Tables, country: str | None = None) -> DataFrame:
+    """The unit price in effect per day and pin, outside the pin's gaps."""
+    return daily_values(price_spans(tables, country))
+
+
+def index_cheapest(tables: Tables, country: str | None = None) -> DataFrame:
+    return daily_values(item_spans(tables, country))
+
+
 def core_items(tables: Tables) -> DataFrame:
     return tables.items.filter(F.col("tier") == "core").select(
         F.col("key").alias("item_key"), "index_quantity"
@@ -91,60 +101,87 @@ def with_core_keys(df: DataFrame, tables: Tables) -> DataFrame:
     return df.withColumn("core_keys", keys.scalar())
 
 
-def basket_days(asof: DataFrame, starts: DataFrame, tables: Tables) -> DataFrame:
-    """One row per country and day; the total is null unless every core item is priced.
+def basket_lines(spans: DataFrame, tables: Tables) -> DataFrame:
+    """Spans of basket items with a quantity, and what the quantity costs."""
+    items = core_items(tables).filter(F.col("index_quantity").isNotNull())
+    cost = extended(F.col("unit_price"), F.col("index_quantity"))
+    return spans.join(items, "item_key").withColumn("cost", cost)
+
 
-    Only priced lines are aggregated; the missing ones are the core keys that did not come
-    up, so the day-by-item grid is never built.
+def uncovered(lines: DataFrame, starts: DataFrame, tables: Tables) -> DataFrame:
+    """The days on which a basket item has no price, as one sorted array per country and day.
+
+    Only missing days are expanded: what lies before, between and after an item's spans.
     """
-    lines = cheapest(asof).join(
-        core_items(tables).filter(F.col("index_quantity").isNotNull()), "item_key"
+    end = F.date_add(last_day(tables), 1)
+    items = with_core_keys(starts, tables).select(
+        "country", "first_day", F.explode("core_keys").alias("item_key")
+    )
+    marks = lines.select("country", "item_key", "from_day", "to_day").unionByName(
+        items.select("country", "item_key", end.alias("from_day"), end.alias("to_day"))
+    )
+    before = F.lag("to_day").over(W.partitionBy("country", "item_key").orderBy("from_day", "to_day"))
+    missing = (
+        marks.withColumn("before", before)
+        .join(starts, "country")
+        .select(
+            "country", "item_key", F.coalesce("before", "first_day").alias("from_day"),
+            F.col("from_day").alias("to_day"),
+        )
     )
-    priced = lines.groupBy("country", "d").agg(
-        F.collect_list("item_key").alias("priced_keys"),
-        F.sum(extended(F.col("unit_price"), F.col("index_quantity"))).alias("sum_priced"),
+    return daily_values(missing).groupBy("country", "d").agg(
+        F.array_sort(F.collect_list("item_key")).alias("missing")
     )
+
+
+def basket_days(lines: DataFrame, starts: DataFrame, tables: Tables) -> DataFrame:
+    """One row per country and day; the total is null unless every core item is priced."""
+    sums = running(lines, ["country"], {"total": F.col("cost")})
+    totals = daily_values(sums.select("country", "from_day", "to_day", "total"))
+    absent = uncovered(lines, starts, tables)
     days = with_core_keys(calendar_from(starts, tables), tables)
     none = F.array().cast("array<string>")
     return (
-        days.join(priced, ["country", "d"], "left")
-        .withColumn(
-            "missing", F.array_except("core_keys", F.coalesce("priced_keys", none))
-        )
+        days.join(totals, ["country", "d"], "left")
+        .join(absent, ["country", "d"], "left")
+        .withColumn("missing", F.coalesce("missing", none))
         .select(
             "country",
             "d",
             (F.size("core_keys") - F.size("missing")).cast("bigint").alias("priced"),
             F.size("core_keys").cast("bigint").alias("expected"),
             "missing",
-            F.when(F.size("missing") == 0, F.col("sum_priced")).alias("total"),
+            F.when(F.size("missing") == 0, F.col("total")).alias("total"),
         )
     )
 
 
+def index_starts(tables: Tables, country: str | None = None) -> DataFrame:
+    return tables.keep(
+        f"index_starts-{country}", lambda: first_days(index_observations(tables, country))
+    )
+
+
 def basket_index(tables: Tables, country: str | None = None) -> DataFrame:
-    observations = index_observations(tables, country)
-    asof = index_asof(tables, country, observations)
-    return basket_days(asof, first_days(observations), tables)
+    lines = basket_lines(item_spans(tables, country), tables)
+    return basket_days(lines, index_starts(tables, country), tables)
 
 
-def store_days(
-    tables: Tables, country: str | None = None, asof: DataFrame | None = None
-) -> DataFrame:
-    """What each store charged per day for the items it priced; a partial day still totals."""
-    if asof is None:
-        asof = index_asof(tables, country)
-    core = core_items(tables)
-    lines = cheapest(asof, "store_id").join(
-        core.filter(F.col("index_quantity").isNotNull()), "item_key"
-    )
-    totals = lines.groupBy("country", "d", "store_id").agg(
-        F.count("*").alias("priced"),
-        F.sum(extended(F.col("unit_price"), F.col("index_quantity"))).alias("total"),
+def store_spans(tables: Tables, country: str | None = None) -> DataFrame:
+    """Spans over which a store's priced items and their total stay the same."""
+    lines = basket_lines(price_spans(tables, country), tables)
+    return running(lines, ["country", "store_id"], {"total": F.col("cost")}).filter(
+        F.col("count") > 0
     )
+
+
+def store_days(tables: Tables, country: str | None = None) -> DataFrame:
+    """What each store charged per day for the items it priced; a partial day still totals."""
     names = tables.stores.select("store_id", F.col("name").alias("store_name"))
-    return totals.join(names, "store_id").withColumn(
-        "expected", core.agg(F.count("*")).scalar()
+    days = daily_values(store_spans(tables, country))
+    return days.join(names, "store_id").select(
+        "country", "d", "store_id", F.col("count").alias("priced"), "total", "store_name",
+        core_items(tables).agg(F.count("*")).scalar().alias("expected"),
     )
 
 
@@ -173,11 +210,7 @@ def dense_store_days(days: DataFrame, starts: DataFrame, tables: Tables) -> Data
 
 
 def store_series(tables: Tables, country: str | None = None) -> DataFrame:
-    observations = index_observations(tables, country)
-    asof = index_asof(tables, country, observations)
-    return dense_store_days(
-        store_days(tables, country, asof), first_days(observations), tables
-    )
+    return dense_store_days(store_days(tables, country), index_starts(tables, country), tables)
 
 
 def index_and_stores(tables: Tables, country: str | None = None) -> DataFrame:
@@ -292,9 +325,7 @@ def index_poles(tables: Tables, country: str | None = None) -> DataFrame:
 
 
 def _own_against_index(tables: Tables, country: str | None) -> tuple[DataFrame, DataFrame]:
-    observations = index_observations(tables, country)
-    asof = index_asof(tables, country, observations)
-    return basket_days(asof, first_days(observations), tables), store_days(tables, country, asof)
+    return basket_index(tables, country), store_days(tables, country)
 
 
 def worst_ratios(basket: DataFrame, stores: DataFrame) -> DataFrame:

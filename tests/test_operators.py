@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfindex.operators.asof import daily_values, outside_gaps, value_spans
+from shelfindex.operators.asof import daily_values, lowest, outside_gaps, running, value_spans
 from shelfindex.operators.changes import change_only
 from shelfindex.operators.ordered import latest_by, slice_width, top_by, with_neighbour
 from shelfindex.operators.quantile import exact_quantiles
@@ -93,10 +93,13 @@ def test_latest_and_top(spark):
     assert {k: sorted(v) for k, v in top.items()} == {k: sorted(v)[-3:] for k, v in ids.items()}
 
 
-def carried(spark, rows, until=6):
+def spans_of(spark, rows, until):
     df = history(spark, rows).withColumn("day", F.to_date("observed_at"))
-    spans = value_spans(df, KEYS, "day", "id", "price", F.lit(date(2024, 1, until)))
-    return daily_values(spans)
+    return value_spans(df, KEYS, "day", "id", "price", F.lit(date(2024, 1, until)))
+
+
+def carried(spark, rows, until=6):
+    return daily_values(spans_of(spark, rows, until))
 
 
 def shown(df):
@@ -120,15 +123,58 @@ def test_asof_against_brute_force(spark):
     assert shown(carried(spark, rows)) == sorted(expected)
 
 
+GAPS = "store_id string, product_key string, from_at timestamp, to_at timestamp"
+
+
 def test_gaps_are_half_open(spark):
-    daily = carried(spark, [("a", 1, 1, 1), ("b", 2, 1, 2)], until=5)
+    spans = spans_of(spark, [("a", 1, 1, 1), ("b", 2, 1, 2)], until=5)
     gaps = spark.createDataFrame(
-        [("s", "a", at(2), at(4)), ("s", "b", at(4), None), ("other", "a", at(1), None)],
-        "store_id string, product_key string, from_at timestamp, to_at timestamp")
-    left = [(k, d) for k, d, _ in shown(outside_gaps(daily, gaps, KEYS))]
+        [("s", "a", at(2), at(4)), ("s", "b", at(4), None), ("other", "a", at(1), None)], GAPS)
+    left = [(k, d) for k, d, _ in shown(daily_values(outside_gaps(spans, gaps, KEYS, KEYS, "price")))]
     assert left == [("a", 1), ("a", 4), ("a", 5), ("b", 1), ("b", 2), ("b", 3)]
 
 
+def random_spans(spark, seed, days=28):
+    rng = random.Random(seed)
+    rows = [(rng.choice("abcd"), i, rng.randrange(1, days), rng.randrange(1, 9))
+            for i in rng.sample(range(1, 99), 40)]
+    return spans_of(spark, rows, days)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_overlapping_gaps_against_days(spark, seed):
+    rng = random.Random(seed)
+    spans = random_spans(spark, seed)
+    gaps = []
+    for _ in range(9):
+        start = rng.randrange(1, 28)
+        end = rng.choice([None, rng.randrange(1, 28)])
+        gaps.append(("s", rng.choice("abcd"), at(start), end and at(end)))
+    expected = [
+        (k, d, p) for k, d, p in shown(daily_values(spans))
+        if not any(k == g[1] and g[2].day <= d and (g[3] is None or d < g[3].day) for g in gaps)
+    ]
+    found = outside_gaps(spans, spark.createDataFrame(gaps, GAPS), KEYS, KEYS, "price")
+    assert shown(daily_values(found)) == expected
+
+
+@pytest.mark.parametrize("stretch", [3, 1024])
+def test_lowest_and_running_against_days(spark, stretch):
+    spans = random_spans(spark, 7)
+    daily = {}
+    for _, d, price in shown(daily_values(spans)):
+        daily.setdefault(d, []).append(price)
+    low = lowest(spans, ["store_id"], "price", stretch)
+    assert {r.d.day: float(r.price) for r in daily_values(low).collect()} == {
+        d: min(v) for d, v in daily.items()}
+    sums = daily_values(running(spans, ["store_id"], {"total": F.col("price") * 2})).collect()
+    assert {r.d.day: (r["count"], float(r.total)) for r in sums if r["count"]} == {
+        d: (len(v), 2 * sum(v)) for d, v in daily.items()}
+    if stretch == 1024:  # as few spans as the lowest price has steps
+        steps = [min(daily[d]) for d in sorted(daily)]
+        assert low.count() == 1 + sum(a != b for a, b in zip(steps, steps[1:], strict=False))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["x", "y"]), st.integers(-30_000, 90_000)),
                 min_size=1, max_size=60), st.sampled_from([0.5, 1.0, 1000.0]))

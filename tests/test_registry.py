@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, connect
@@ -9,7 +10,7 @@ from shelfindex.plans import bulletins, catalog
 from shelfindex.plans.catalog import Search
 from shelfindex.session import shared_folder, size_shuffles
 from shelfindex.sources.sinks import as_documents, write_documents, write_table
-from shelfindex.sources.star import StarSource
+from shelfindex.sources.star import StarSource, product_key_of
 from shelfindex.sources.tables import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -66,6 +67,21 @@ def test_every_part_line_and_event_takes_part(spark):
     assert tables.incidents.count() == kinds["error"] and tables.alerts.count() == kinds["purchase"]
 
 
+def test_the_basket_grows_with_the_input_and_is_complete_on_most_days(spark):
+    def core_readings(folder):
+        source = StarSource(spark, folder)
+        tables = source.tables()
+        core = tables.items.filter("tier = 'core'").select(F.col("key").alias("item_key"))
+        pins = source.basket_map().join(core, "item_key").filter("product_key is not null")
+        keyed = source.readings().withColumn("product_key", product_key_of(F.col("sku")))
+        return keyed.join(pins, ["store_id", "product_key"], "left_semi").count()
+
+    assert core_readings("/root/testdata/sf0.01") > 9 * core_readings(FOLDER)
+    assert core_readings("/root/testdata/sf0.1") > 9 * core_readings("/root/testdata/sf0.01")
+    days = queries()["basket_index"](spark, "/root/testdata/sf0.01")
+    assert days.filter("total is not null").count() > 0.8 * days.count()
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
@@ -109,8 +125,8 @@ def test_bulletins_prune_partitions(stored):
 def test_history_is_read_narrowly(stored):
     """Filters reach the scan and only needed columns are read."""
     read, _, _ = stored
-    plan = plan_of(catalog.product_history(read, "st19", "k059"))
-    assert "EqualTo(store_id,st19)" in plan and "EqualTo(product_key,k059)" in plan
+    plan = plan_of(catalog.product_history(read, "st13", "k014"))
+    assert "EqualTo(store_id,st13)" in plan and "EqualTo(product_key,k014)" in plan
     assert "previous_price" not in plan
     spark_plan = plan_of(catalog.sparkline(read))
     assert "WindowGroupLimit" in spark_plan and "currency" not in spark_plan
