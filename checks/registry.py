@@ -137,7 +137,7 @@ def stream_feed(t: Tables, s: StarSource) -> DataFrame:
 
 def stream_change_only(t: Tables, s: StarSource) -> DataFrame:
     """Steps found by the stream, with the columns the batch history carries."""
-    history = PriceHistory.scratch(s.spark, "changes", width=t.id_slice)
+    history = PriceHistory.scratch(s.spark, "changes")
     history.run(readings(StarStream(s.spark, s.folder, ("lineitem",))))
     sku = F.substring("product_key", 2, 18).cast("bigint")
     return s.with_unit_prices(history.read_steps().withColumn("sku", sku).drop("product_key"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfindex.operators.ordered import latest_by, with_neighbour
 from shelfindex.session import scratch_path
 from shelfindex.streaming.sinks import Versions, run_available
 
@@ -13,67 +16,111 @@ PRODUCT = ["store_id", "product_key"]
 LATEST = """
     store_id string, product_key string, id decimal(38,0), observed_at timestamp, price decimal(12,4)
 """
+STEPS = f"{LATEST}, change string, previous_price decimal(12,4), delta decimal(12,4)"
+LATE = f"{LATEST}, reason string"
+CHANGES = f"kind string, {STEPS}, reason string"
+KNOWN = "id decimal(38,0), price decimal(12,4)"
 COLUMNS = [*PRODUCT, "id", "observed_at", "price"]
+# A key-value store on local disk with its log in the checkpoint: known products need no heap.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def advance(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Steps, late readings and the newest reading of one product, from a batch of its readings."""
+    known_id, known_price = state.get if state.exists else (None, None)
+    before = known_id
+    readings = [
+        row for frame in frames
+        for row in zip(frame["id"], frame["observed_at"], frame["price"], strict=True)
+    ]
+    readings.sort(key=lambda row: row[0])
+    out, newest = [], None
+    for row in readings:
+        reading_id, _, price = row
+        if known_id is not None and reading_id <= known_id:
+            reason = "repeated" if reading_id == known_id else "late"
+            out.append(("late", *key, *row, None, None, None, reason))
+            continue
+        if known_price is None or price != known_price:
+            delta = None if known_price is None else price - known_price
+            change = "new" if known_price is None else "price"
+            out.append(("step", *key, *row, change, known_price, delta, None))
+        known_id, known_price, newest = reading_id, price, row
+    if known_id != before:
+        state.update((known_id, known_price))
+        out.append(("latest", *key, *newest, None, None, None, None))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
 
 class PriceHistory:
-    """Steps and latest prices under one folder, fed by micro-batches of readings.
+    """Steps, late readings and latest prices under one folder, fed by micro-batches of readings.
 
-    Ids decide the order: a reading whose id is not above the newest one known for its product
-    arrived late or twice and is passed over. A batch is compared with the state left by the
-    batches before it, so running it again writes the same rows. A product that dominates a
-    batch is ordered in id slices, as in the batch operator.
+    The newest id and price of every product are state that Spark keeps by key, so a batch costs
+    what it brings, however many products are known. Ids decide the order: a reading whose id is
+    not above the newest known one of its product came late or twice; it changes nothing and is
+    written to a table of its own, with the reason. So every reading delivered is either applied or
+    found there. A batch that runs again starts from the same state and overwrites its own folders.
+
+    The readings of one product in one batch are put in order in one task; the source's limits on
+    a batch (files or bytes per trigger) bound them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, width: int | None = None, every: int = 20):
+    def __init__(self, spark: SparkSession, root: str, every: int = 20):
         self.spark = spark
-        self.width = width
         self.checkpoint = f"{root}/checkpoint"
         self.steps_path = f"{root}/steps"
+        self.late_path = f"{root}/late"
         self.latest = Versions(spark, f"{root}/latest", LATEST, PRODUCT, "id", every)
 
     @classmethod
     def scratch(cls, spark: SparkSession, label: str, **options) -> PriceHistory:
         return cls(spark, scratch_path(spark, label), **options)
 
-    def unseen(self, readings: DataFrame, batch: int) -> DataFrame:
-        """Readings newer than what is known, with the price known before them."""
-        known = self.latest.before(batch).select(
-            *PRODUCT, F.col("id").alias("_known_id"), F.col("price").alias("_known_price")
+    def changes(self, readings: DataFrame) -> DataFrame:
+        """What the readings of a stream change, by kind: step, late or latest."""
+        wanted = readings.filter(F.col("id").isNotNull()).select(
+            *PRODUCT, F.col("id").cast("decimal(38,0)").alias("id"), "observed_at",
+            F.col("price").cast("decimal(12,4)").alias("price"),
         )
-        newer = F.col("_known_id").isNull() | (F.col("id") > F.col("_known_id"))
-        return readings.select(*COLUMNS).join(known, PRODUCT, "left").filter(newer)
-
-    def steps(self, unseen: DataFrame) -> DataFrame:
-        seen = with_neighbour(unseen, PRODUCT, "id", {"_before": "price"}, width=self.width)
-        previous = F.coalesce("_before", "_known_price")
-        return (
-            seen.withColumn("previous_price", previous)
-            .filter(F.col("previous_price").isNull() | (F.col("price") != F.col("previous_price")))
-            .select(
-                *COLUMNS,
-                F.when(F.col("previous_price").isNull(), "new").otherwise("price").alias("change"),
-                "previous_price",
-                (F.col("price") - F.col("previous_price")).cast("decimal(12,4)").alias("delta"),
-            )
+        return wanted.groupBy(*PRODUCT).applyInPandasWithState(
+            advance, CHANGES, KNOWN, "append", GroupStateTimeout.NoTimeout
         )
 
-    def apply(self, readings: DataFrame, batch: int) -> None:
-        unseen = self.unseen(readings, batch).persist()
+    def record(self, changes: DataFrame, batch: int, steps: bool = True) -> None:
+        """Write the changes of one batch into folders of its own."""
+
+        def of(kind: str, *also: str) -> DataFrame:
+            return changes.filter(F.col("kind") == kind).select(*COLUMNS, *also)
+
+        changes = changes.persist()
         try:
-            self.steps(unseen).write.mode("overwrite").parquet(f"{self.steps_path}/version={batch}")
-            self.latest.apply(latest_by(unseen, PRODUCT, "id", COLUMNS).select(*COLUMNS), batch)
+            if steps:
+                found = of("step", "change", "previous_price", "delta")
+                found.write.mode("overwrite").parquet(f"{self.steps_path}/version={batch}")
+            of("late", "reason").write.mode("overwrite").parquet(f"{self.late_path}/version={batch}")
+            self.latest.apply(of("latest"), batch)
         finally:
-            unseen.unpersist()
-
-    def apply_latest(self, readings: DataFrame, batch: int) -> None:
-        """Keep the latest prices only."""
-        newest = latest_by(self.unseen(readings, batch), PRODUCT, "id", COLUMNS)
-        self.latest.apply(newest.select(*COLUMNS), batch)
+            changes.unpersist()
 
     def run(self, readings: DataFrame, steps: bool = True) -> None:
         """Bring the history up to date with everything the stream holds."""
-        run_available(readings, self.checkpoint, self.apply if steps else self.apply_latest)
+        unset = self.spark.conf.get(STATE_STORE, None) in (None, "") or "HDFSBacked" in (
+            self.spark.conf.get(STATE_STORE)
+        )
+        if unset:
+            self.spark.conf.set(STATE_STORE, ROCKS)
+        run_available(
+            self.changes(readings),
+            self.checkpoint,
+            lambda changes, batch: self.record(changes, batch, steps),
+        )
 
     def read_steps(self) -> DataFrame:
-        return self.spark.read.parquet(self.steps_path).drop("version")
+        return self.spark.read.schema(STEPS).parquet(self.steps_path)
+
+    def read_late(self) -> DataFrame:
+        """Readings that came too late or twice, each with its reason."""
+        return self.spark.read.schema(LATE).parquet(self.late_path)

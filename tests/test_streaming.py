@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfindex.operators.changes import change_only
 from shelfindex.streaming import events as streams
 from shelfindex.streaming.history import PriceHistory
+from shelfindex.streaming.sinks import run_available
 from tests.conftest import at
 
 READING = """store_id string, product_key string, id bigint, observed_at timestamp,
@@ -41,14 +42,18 @@ STEP = [*KEYS, "id", "price", "change", "previous_price", "delta"]
 def test_steps_equal_the_batch(spark, tmp_path):
     df = readings(spark)
     stream = in_files(spark, df, f"{tmp_path}/in", [0, 40, 41, 120, 200])
-    history = PriceHistory(spark, f"{tmp_path}/out", width=16, every=2)
+    history = PriceHistory(spark, f"{tmp_path}/out", every=2)
     history.run(stream)
     assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
     newest = df.groupBy(*KEYS).agg(F.max("id").alias("id"))
     assert rows_of(history.latest.current(), *KEYS, "id") == rows_of(newest, *KEYS, "id")
+    assert history.read_late().count() == 0
+    versions = [r.version for r in spark.read.parquet(f"{tmp_path}/out/latest").select(
+        "version").distinct().collect()]
+    assert len(versions) == 4  # micro-batches
 
 
-def test_restart_continues(spark, tmp_path):
+def test_restart_continues_from_the_kept_state(spark, tmp_path):
     df = readings(spark)
     first = in_files(spark, df, f"{tmp_path}/in", [0, 70])
     PriceHistory(spark, f"{tmp_path}/out").run(first)
@@ -58,26 +63,48 @@ def test_restart_continues(spark, tmp_path):
     assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
 
 
-def test_batch_run_again_changes_nothing(spark, tmp_path):
+def test_late_and_repeated_readings_are_kept_apart(spark, tmp_path):
+    """Three micro-batches: each brings again some readings, and some it should have had before."""
     df = readings(spark)
-    history = PriceHistory(spark, f"{tmp_path}/out", every=2)
-    parts = [df.filter(F.col("id").between(a, b)) for a, b in [(1, 60), (61, 90), (91, 200)]]
-    for batch, part in enumerate(parts):
-        history.apply(part, batch)
-        history.apply(part, batch)
-    assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
-
+    late = df.filter("id % 10 = 3 and id <= 110")
+    on_time = df.join(late.select("id"), "id", "left_anti").select(*df.columns)
+    parts = [
+        on_time.filter("id <= 80").unionByName(on_time.filter("id <= 5")),
+        on_time.filter("id > 80 and id <= 140").unionByName(late.filter("id <= 60")),
+        on_time.filter("id > 130").unionByName(late.filter("id > 60")),
+    ]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    history = PriceHistory(spark, f"{tmp_path}/out")
+    history.run(stream)
 
-def test_late_and_repeated_readings_are_passed_over(spark, tmp_path):
+    applied, passed = {}, []
+    for part in parts:  # the same, reading by reading
+        for r in sorted(part.collect(), key=lambda r: r.id):
+            if r.id > applied.get(r.product_key, [0])[-1]:
+                applied.setdefault(r.product_key, []).append(r.id)
+            else:
+                passed.append((r.product_key, r.id))
+    ids = [i for found in applied.values() for i in found]
+    expected = change_only(df.filter(F.col("id").isin(ids)), KEYS)
+    assert rows_of(history.read_steps(), *STEP) == rows_of(expected, *STEP)
+    kept = history.read_late().collect()
+    assert sorted((r.product_key, int(r.id)) for r in kept) == sorted(passed)
+    assert {r.reason for r in kept} == {"late", "repeated"}
+    delivered = sum(part.count() for part in parts)
+    assert len(ids) + len(kept) == delivered  # nothing is lost untold
+    newest = [(k, str(max(v))) for k, v in applied.items()]
+    assert rows_of(history.latest.current(), "product_key", "id") == sorted(newest)
+
+
+def test_batch_recorded_again_changes_nothing(spark, tmp_path):
     df = readings(spark)
-    history = PriceHistory(spark, f"{tmp_path}/out")
-    history.apply(df.filter("id > 20"), 0)
-    before = rows_of(history.latest.current(), *KEYS, "id", "price")
-    history.apply(df, 1)
-    late = df.filter("id <= 20").join(df.filter("id > 20").select(*KEYS).distinct(), KEYS)
-    assert late.count() == 20
-    assert rows_of(history.latest.current(), *KEYS, "id", "price") == before
-    assert history.spark.read.parquet(f"{history.steps_path}/version=1").count() == 0
+    stream = in_files(spark, df, f"{tmp_path}/in", [0, 90, 200])
+    history = PriceHistory(spark, f"{tmp_path}/out", every=2)
+    twice = lambda changes, batch: [history.record(changes, batch) for _ in range(2)]
+    run_available(history.changes(stream), f"{tmp_path}/log", twice)
+    assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
 
 
 def test_runs_once_and_daily(spark, tmp_path):
