@@ -29,12 +29,18 @@ def fuel_family(product: Column) -> Column:
 
 
 def series_prices(tables: Tables, source: str, **where: str | None) -> DataFrame:
-    """Prices of one source's series; with a source-partitioned layout only its files are read."""
+    """Prices of one source's series; with a source-partitioned layout only its files are read.
+
+    Both sides are cut by the source: prices whose files carry it are pruned before the join.
+    """
+    prices = tables.gov_prices
+    if "source" in prices.columns:
+        prices = prices.filter(F.col("source") == source).drop("source")
     series = tables.gov_series.filter(F.col("source") == source)
     for column, value in where.items():
         if value is not None:
             series = series.filter(F.col(column) == value)
-    return tables.gov_prices.join(series.withColumnRenamed("id", "series_id"), "series_id")
+    return prices.join(series.withColumnRenamed("id", "series_id"), "series_id")
 
 
 def latest_period(prices: DataFrame) -> DataFrame:

@@ -77,3 +77,6 @@ TABLES = {
     "gov_prices": GOV_PRICES,
     "gov_documents": GOV_DOCUMENTS,
 }
+
+# Columns beyond the declared ones that files of a table are laid out by, where they have them.
+LAYOUT = {"gov_prices": "source string"}

@@ -20,9 +20,8 @@ from shelfindex.operators.changes import change_only
 from shelfindex.operators.ordered import slice_width
 from shelfindex.plans import quality
 from shelfindex.session import checkpointed, scratch_path, size_shuffles
-from shelfindex.sources.schemas import TABLES
 from shelfindex.sources.sinks import write_table
-from shelfindex.sources.tables import Tables, conform
+from shelfindex.sources.tables import Tables, conform, file_schema
 
 # Fixed values of the derived data set.
 AS_OF = date(2001, 11, 4)
@@ -151,7 +150,7 @@ class StarSource:
         if self._root is None:
             self._root = scratch_path(self.spark, "star")
         write_table(derived, self._root, name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self._root}/{name}")
+        return self.spark.read.schema(file_schema(name)).parquet(f"{self._root}/{name}")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -500,7 +499,7 @@ class StarSource:
 
     def gov_prices(self) -> DataFrame:
         return self.bulletins().select(
-            "series_id", "period_start", "period_end", "price_min", "price_max"
+            "series_id", "period_start", "period_end", "price_min", "price_max", "source"
         )
 
     def gov_documents(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from shelfindex.operators.ordered import slice_width
 from shelfindex.session import checkpointed, size_shuffles
-from shelfindex.sources.schemas import TABLES
+from shelfindex.sources.schemas import LAYOUT, TABLES
 
 # Currency codes used where neither the observation nor the store carries one.
 DEFAULT_CURRENCY = {"PH": "PHP"}
@@ -76,10 +76,10 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, as_of: date | None = None, **options):
-        """Tables laid out as `root/<table>`, with bulletins partitioned by source."""
+        """Tables laid out as `write_table` does, with bulletins partitioned by source."""
 
         def load(name: str) -> DataFrame:
-            return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+            return spark.read.schema(file_schema(name)).parquet(f"{root}/{name}")
 
         return cls._measured(spark, load, as_of, options)
 
@@ -124,7 +124,18 @@ class Tables:
         return cls(spark, load, as_of, **options)
 
 
+def file_schema(table: str) -> str:
+    """The declared columns of a table and those that its files are laid out by."""
+    return ", ".join(part for part in (TABLES[table], LAYOUT.get(table)) if part)
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the declared columns of `table` from `df`, in the declared types."""
-    fields = StructType.fromDDL(TABLES[table]).fields
+    """Select the declared columns of `table` from `df`, in the declared types.
+
+    A layout column is kept where `df` has it.
+    """
+    laid_out = [f for f in StructType.fromDDL(LAYOUT.get(table, "")).fields if f.name in df.columns]
+    fields = StructType.fromDDL(TABLES[table]).fields + [
+        f for f in laid_out if f.name not in StructType.fromDDL(TABLES[table]).names
+    ]
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])

@@ -9,7 +9,7 @@ from checks.registry import registered
 from shelfindex.plans import bulletins, catalog
 from shelfindex.plans.catalog import Search
 from shelfindex.session import shared_folder, size_shuffles
-from shelfindex.sources.sinks import as_documents, write_documents, write_table
+from shelfindex.sources.sinks import as_documents, with_source, write_documents, write_table
 from shelfindex.sources.star import StarSource, product_key_of
 from shelfindex.sources.tables import Tables
 
@@ -119,7 +119,18 @@ def test_round_trip(stored):
 def test_bulletins_prune_partitions(stored):
     read, _, _ = stored
     plan = plan_of(bulletins.lpg(read))
-    assert "PartitionFilters: [isnotnull(source" in plan and "doe_lpg" in plan
+    assert "doe_lpg" in plan
+    scans = [line for line in plan.split("FileScan") if "/gov_" in line]
+    assert len(scans) >= 2 and all("PartitionFilters: [isnotnull(source" in scan for scan in scans)
+
+
+def test_bulletin_prices_take_the_source_of_their_series(stored):
+    read, derived, _ = stored
+    bare = derived.gov_prices.drop("source")
+    assert with_source(bare, derived.gov_series).exceptAll(derived.gov_prices).count() == 0
+    whole = Tables(read.spark, lambda name: bare if name == "gov_prices" else getattr(derived, name),
+                   derived.as_of, derived.currencies)
+    assert bulletins.lpg(whole).exceptAll(bulletins.lpg(read)).count() == 0
 
 
 def test_history_is_read_narrowly(stored):
