@@ -11,10 +11,10 @@ from shelfindex.operators.ordered import with_neighbour
 
 
 def change_only(
-    df: DataFrame, keys: Sequence[str], order: str = "id", width: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str = "id", cuts: Sequence = ()
 ) -> DataFrame:
     """Readings with `price` reduced to steps, with change, previous_price and delta."""
-    seen = with_neighbour(df, keys, order, {"previous_price": "price"}, width=width)
+    seen = with_neighbour(df, keys, order, {"previous_price": "price"}, cuts=cuts)
     first = F.col("previous_price").isNull()
     return seen.filter(first | (F.col("price") != F.col("previous_price"))).select(
         *df.columns,

@@ -1,9 +1,9 @@
 """Order-dependent operators that survive a key holding a large share of all rows.
 
 A window partitioned by the key alone puts a key's whole history into one task. When the
-order column is a unique integer id, cutting the id range into slices of fixed width bounds
-every (key, slice) group by that width; only one summary row per slice then crosses a
-slice boundary.
+order column is a unique integer id, cutting the ids into slices at counted values bounds
+every (key, slice) group by the rows of a slice, however the ids are spread; only one summary
+row per slice then crosses a slice boundary.
 """
 
 from __future__ import annotations
@@ -18,11 +18,6 @@ from pyspark.sql import Window as W
 TARGET_SLICE_ROWS = 2_000_000
 
 
-def slice_width(rows: int, lowest: int, highest: int, target: int = TARGET_SLICE_ROWS) -> int:
-    """Id span holding about `target` rows if ids are dense."""
-    return max(1, int(highest - lowest + 1) * target // max(1, rows))
-
-
 def splitters(df: DataFrame, column: str, parts: int) -> list:
     """Values that cut the rows of `df` into about `parts` ranges of equal count, in order.
 
@@ -52,25 +47,32 @@ def range_number(column: Column, cuts: Sequence) -> Column:
     return F.aggregate(steps, F.lit(0), further)
 
 
+def slice_cuts(df: DataFrame, order: str, rows: int, target: int = TARGET_SLICE_ROWS) -> list:
+    """Ids that cut `rows` rows into slices of about `target` rows; none if one slice holds all."""
+    return sorted(set(splitters(df, order, -(-rows // target))))
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     columns: Mapping[str, str],
     ahead: bool = False,
-    width: int | None = None,
+    cuts: Sequence = (),
 ) -> DataFrame:
     """Add, per key, the given columns of the previous (or next) row by `order`.
 
-    `columns` maps new names to source columns. `width` is the id span of a slice; None puts a
-    key's rows into one slice, for histories known to be short.
+    `columns` maps new names to source columns. `cuts` are the ids at which slices begin, as
+    `slice_cuts` finds them; without any, all rows are in one slice.
     """
     step = F.lead if ahead else F.lag
     neighbour = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-
-    span = F.lit(Decimal(1 if width is None else width)).cast("decimal(38,0)")
-    part = F.lit(0) if width is None else F.floor(F.col(order).cast("decimal(38,0)") / span)
-    sliced = df.withColumn("_slice", part)
+    if not cuts:
+        found = step(neighbour).over(W.partitionBy(*keys).orderBy(order))
+        return df.withColumn("_found", found).select(
+            *df.columns, *[F.col("_found")[name].alias(name) for name in columns]
+        )
+    sliced = df.withColumn("_slice", range_number(F.col(order), cuts))
     near = sliced.withColumn(
         "_near", step(neighbour).over(W.partitionBy(*keys, "_slice").orderBy(order))
     )

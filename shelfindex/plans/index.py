@@ -378,7 +378,7 @@ def price_intervals(tables: Tables) -> DataFrame:
         *PRODUCT, "id", "price", F.to_date("observed_at").alias("from_day")
     )
     held = with_neighbour(
-        steps, PRODUCT, "id", {"next_day": "from_day"}, ahead=True, width=tables.id_slice
+        steps, PRODUCT, "id", {"next_day": "from_day"}, ahead=True, cuts=tables.id_cuts
     )
     return held.select(
         *PRODUCT, "id", "price", "from_day",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfindex.functions.prices import basis_of, unit_price
 from shelfindex.operators.changes import change_only
-from shelfindex.operators.ordered import slice_width
+from shelfindex.operators.ordered import slice_cuts
 from shelfindex.plans import quality
 from shelfindex.session import checkpointed, scratch_path, size_shuffles
 from shelfindex.sources.sinks import write_table
@@ -79,7 +79,6 @@ STAPLES = 20
 PARTS_PER_LINE = 10
 # A reading's id: day, order (12 digits), line (2), part (10) and supplier (8).
 ID = "decimal(38,0)"
-PER_DAY = 10**32
 
 
 def placed(high: Column, low: Column, digits: int) -> Column:
@@ -124,8 +123,7 @@ class StarSource:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._width: int | None = None
-        self._sized = False
+        self._cuts: list | None = None
         self._root: str | None = None
         self._bulletins: DataFrame | None = None
         self._derived: dict[str, DataFrame] = {}
@@ -136,7 +134,7 @@ class StarSource:
             self.table,
             AS_OF,
             CURRENCIES,
-            id_slice=self.id_slice(),
+            id_cuts=self.id_cuts(),
         )
 
     def table(self, name: str) -> DataFrame:
@@ -155,17 +153,13 @@ class StarSource:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def id_slice(self) -> int | None:
-        """Ordered work per task, sized by the row count and the date span of the input."""
-        if not self._sized:
-            lineitem = self.raw("lineitem")
-            rows = lineitem.count()
+    def id_cuts(self) -> list:
+        """Where slices of the readings begin, by their counted ids."""
+        if self._cuts is None:
+            rows = self.raw("lineitem").count()
             size_shuffles(self.spark, rows)
-            day = F.unix_date(F.to_date("l_shipdate"))
-            low, high = lineitem.agg(F.min(day), F.max(day)).first()
-            self._width = slice_width(rows, (low or 0) * PER_DAY, ((high or 0) + 1) * PER_DAY)
-            self._sized = True
-        return self._width
+            self._cuts = slice_cuts(self.readings(), "id", rows)
+        return self._cuts
 
     def stores(self) -> DataFrame:
         n = F.col("n_nationkey")
@@ -243,7 +237,7 @@ class StarSource:
         )
 
     def price_observations(self) -> DataFrame:
-        steps = change_only(self.readings(), ["store_id", "sku"], width=self.id_slice())
+        steps = change_only(self.readings(), ["store_id", "sku"], cuts=self.id_cuts())
         return self.with_unit_prices(steps)
 
     def with_unit_prices(self, steps: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfindex.operators.ordered import slice_width
+from shelfindex.operators.ordered import slice_cuts
 from shelfindex.session import checkpointed, size_shuffles
 from shelfindex.sources.schemas import LAYOUT, TABLES
 
@@ -22,8 +22,8 @@ class Tables:
 
     `as_of` is the reading clock of every rule that says "in the last N days";
     it is explicit so that a historical extract gives the answer of its own day.
-    `id_slice` is the id span one task may order on its own, see
-    `shelfindex.operators.ordered`; None means a key's history is small.
+    `id_cuts` are the ids at which slices of the history begin that one task may order on its own,
+    see `shelfindex.operators.ordered`; none means that one slice holds it.
     """
 
     def __init__(
@@ -32,12 +32,12 @@ class Tables:
         load: Callable[[str], DataFrame],
         as_of: date,
         currencies: Mapping[str, str] = DEFAULT_CURRENCY,
-        id_slice: int | None = None,
+        id_cuts: Sequence = (),
     ):
         self.spark = spark
         self.as_of = as_of
         self.currencies = dict(currencies)
-        self.id_slice = id_slice
+        self.id_cuts = tuple(id_cuts)
         self._load = load
         self._loaded: dict[str, DataFrame] = {}
         self._kept: dict[str, DataFrame] = {}
@@ -109,17 +109,15 @@ class Tables:
 
     @classmethod
     def _measured(cls, spark, load, as_of: date | None, options: dict):
-        """Fill in the reading day and the id slice from the history where they are not given."""
-        if as_of is None or "id_slice" not in options:
-            rows, low, high, latest = (
-                load("price_observations")
-                .agg(F.count("*"), F.min("id"), F.max("id"), F.max(F.to_date("observed_at")))
-                .first()
-            )
+        """Fill in the reading day and the id cuts from the history where they are not given."""
+        if as_of is None or "id_cuts" not in options:
+            history = load("price_observations")
+            rows, latest = history.agg(F.count("*"), F.max(F.to_date("observed_at"))).first()
             if as_of is None and latest is None:
                 raise ValueError("no observations: give as_of explicitly")
             as_of = as_of or latest
-            options = {"id_slice": slice_width(rows, low or 0, high or 0), **options}
+            if "id_cuts" not in options:
+                options = {"id_cuts": slice_cuts(history, "id", rows), **options}
             size_shuffles(spark, rows)
         return cls(spark, load, as_of, **options)
 

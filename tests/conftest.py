@@ -38,7 +38,7 @@ def coerced(value, kind):
 def tiny(spark):
     """Build Tables from lists of dicts; columns left out are null, tables left out empty."""
 
-    def build(as_of=date(2024, 1, 31), id_slice=None, **rows) -> Tables:
+    def build(as_of=date(2024, 1, 31), id_cuts=(), **rows) -> Tables:
         def load(name):
             schema = T.StructType.fromDDL(TABLES[name])
             data = [
@@ -47,6 +47,6 @@ def tiny(spark):
             ]
             return spark.createDataFrame(data, schema)
 
-        return Tables(spark, load, as_of, {"PH": "PHP", "US": "USD"}, id_slice)
+        return Tables(spark, load, as_of, {"PH": "PHP", "US": "USD"}, id_cuts)
 
     return build

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from shelfindex.operators.asof import daily_values, lowest, outside_gaps, running, value_spans
 from shelfindex.operators.changes import change_only
-from shelfindex.operators.ordered import latest_by, slice_width, top_by, with_neighbour
+from shelfindex.operators.ordered import (
+    latest_by, range_number, slice_cuts, top_by, with_neighbour,
+)
 from shelfindex.operators.quantile import exact_quantiles
 from tests.conftest import at
 
@@ -36,6 +38,11 @@ def skewed(spark, rows=600, seed=3):
     return history(spark, data)
 
 
+def every(width):
+    """Slices of that many ids."""
+    return [] if width is None else list(range(width, 700, width))
+
+
 def brute_changes(rows):
     last, out = {}, []
     for r in sorted(rows, key=lambda r: r.id):
@@ -56,7 +63,7 @@ def test_repeated_prices_are_not_steps(spark):
 @pytest.mark.parametrize("width", [None, 1, 7, 50, 10_000])
 def test_changes_in_slices(spark, width):
     df = skewed(spark)
-    found = change_only(df, KEYS, width=width).collect()
+    found = change_only(df, KEYS, cuts=every(width)).collect()
     assert sorted((r.product_key, r.id, r.previous_price) for r in found) == brute_changes(
         df.collect())
 
@@ -65,7 +72,7 @@ def test_changes_in_slices(spark, width):
 @pytest.mark.parametrize("ahead", [False, True])
 def test_neighbours_in_slices(spark, width, ahead):
     df = skewed(spark, 300)
-    found = with_neighbour(df, KEYS, "id", {"near": "id"}, ahead=ahead, width=width).collect()
+    found = with_neighbour(df, KEYS, "id", {"near": "id"}, ahead=ahead, cuts=every(width)).collect()
     by_key = {}
     for r in sorted(df.collect(), key=lambda r: r.id, reverse=ahead):
         by_key.setdefault(r.product_key, [None]).append(r.id)
@@ -73,11 +80,20 @@ def test_neighbours_in_slices(spark, width, ahead):
     assert {r.id: r.near for r in found} == expected
 
 
-def test_slice_width():
-    assert slice_width(10, 0, 100, target=10) == 101
-    assert slice_width(0, 0, 0) >= 1
-    assert slice_width(1000, 1, 1000, target=10) == 10
-    assert slice_width(10**12, 1, 10) == 1
+def test_a_stray_id_leaves_slices_even(spark):
+    far = spark.range(1, 20_001).unionByName(spark.createDataFrame([(10**17,), (-(10**17),)], "id long"))
+    cuts = slice_cuts(far, "id", 20_002, target=1_000)
+    rows = far.groupBy(range_number(F.col("id"), cuts).alias("slice")).count().collect()
+    sizes = [r["count"] for r in rows]
+    assert len(sizes) == 21 and max(sizes) <= 2 * min(sizes)
+    assert slice_cuts(far, "id", 20_002, target=30_000) == []
+
+
+def test_range_numbers_of_long_ids(spark):
+    ids = [Decimal(10**36 + n) for n in range(5)]
+    df = spark.createDataFrame([(i,) for i in ids], "id decimal(38,0)")
+    found = df.select("id", range_number(F.col("id"), [ids[1], ids[3]]).alias("n")).collect()
+    assert sorted((r.id, r.n) for r in found) == list(zip(ids, [0, 1, 1, 2, 2], strict=True))
 
 
 def test_latest_and_top(spark):
