@@ -18,9 +18,12 @@
 (how many other classes are within the threshold), group_id (smallest doc_id reachable by links)
 and keep (whether it is its group's first document).
 
-Null and empty texts are classes of their own with no links. Repeated rows are copies; rows that
-repeat a doc_id with another text are tied to one another by that id. Rows without an id get a
-negative one of their own from the hash of their text. An empty table gives an empty result.
+Null and empty texts are classes of their own with no links. Texts of any length are read whole.
+Repeated rows are copies. An id with several texts is as many documents: a row is known by its id and
+its text, a class by its set, so each text has links and a group of its own; where ids tie, the lower
+set or text digest comes first. Rows without an id get a negative one of their own from the hash of
+their text. Only doc_id and text are read, so further columns and their names do not matter. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ CHUNK = 1 << 12  # n-grams hashed at a time
 CELLS = 1 << 21  # entries of a dense block
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
-SETS = "doc_id long, set_key binary, bands array<long>"
+SETS = "doc_id long, text_key string, set_key binary, bands array<long>"
 FOUND = "doc_id long, links long, other long"
 
 
@@ -105,9 +108,10 @@ class MinHash:
 
 
 def word_hashes(documents: DataFrame) -> DataFrame:
-    """doc_id and the hashes of its words, in order."""
+    """The hashes of the words of each text, in order, in place of the text."""
     words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-    return documents.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    others = [c for c in documents.columns if c != "text"]
+    return documents.select(*others, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
 
 
 def sketcher(bands: int, rows: int):
@@ -121,7 +125,7 @@ def sketcher(bands: int, rows: int):
                 own = grams(np.asarray(words, dtype=np.int64)) if words is not None else ()
                 keys.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
                 found.append(hashes.band_hashes(own) if len(own) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": keys, "bands": found})
+            yield batch[["doc_id", "text_key"]].assign(set_key=keys, bands=found)
 
     return sketch
 
@@ -258,26 +262,54 @@ def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), drawn)
 
 
-def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, links, group_id and keep of every document."""
-    named = documents.select(own_id().alias("doc_id"), "text")
-    sketches = kept(
-        word_hashes(named).mapInPandas(sketcher(*banding(threshold, recall)), SETS), "sketches"
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def numbered_classes(texts: DataFrame) -> DataFrame:
+    """Distinct sets: of_key, first document (class_id, text_key), bands, and a number of their own.
+
+    The number is the class_id; where several sets have one class_id, all but the first get a
+    negative number from their digest.
+    """
+    document = F.struct("doc_id", "text_key")
+    found = kept(
+        texts.groupBy(F.col("set_key").alias("of_key"))
+        .agg(F.min(document).alias("rep"), F.min_by("bands", document).alias("bands"))
+        .select("of_key", F.col("rep.doc_id").alias("class_id"), "rep.text_key", "bands"),
+        "classes",
     )
-    texts = sketches.filter(F.col("set_key").isNotNull())
-    classes = kept(
-        texts.groupBy(F.col("set_key").alias("of_key")).agg(
-            F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands")
+    first = found.groupBy(F.col("class_id").alias("of_id")).agg(F.min("of_key").alias("first_key"))
+    drawn = -F.lit(2**61) - F.abs(F.xxhash64("of_key") % 2**60)
+    return kept(
+        found.join(first, F.col("class_id") == F.col("of_id")).select(
+            *found.columns,
+            F.when(F.col("of_key") == F.col("first_key"), F.col("class_id")).otherwise(drawn)
+            .alias("number"),
         ),
-        "classes",
+        "numbered-classes",
     )
-    members = candidates(classes.select(F.col("class_id").alias("doc_id"), "bands"))
+
+
+def described(documents: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, text_key, class_id, links, group_id and keep of every document."""
+    named = documents.select(own_id().alias("doc_id"), text_key().alias("text_key"), "text")
+    sketches = kept(
+        word_hashes(named).mapInPandas(sketcher(*banding(threshold, recall)), SETS), "sketches"
+    )
+    classes = numbered_classes(sketches.filter(F.col("set_key").isNotNull()))
+    members = candidates(classes.select(F.col("number").alias("doc_id"), "bands"))
     shares = blocked(members)
-    words = word_hashes(named.join(members, F.col("doc_id") == F.col("node"), "left_semi"))
-    one = words.groupBy("doc_id").agg(F.first("words").alias("words"))
+    wanted = classes.join(members, F.col("number") == F.col("node"), "left_semi").select(
+        "number", F.col("class_id").alias("doc_id"), "text_key"
+    )
+    words = word_hashes(named.join(wanted, ["doc_id", "text_key"]))
+    one = words.groupBy("number").agg(F.first("words").alias("words"))  # equal texts of one id
     checked = (
-        shares.join(one, F.col("node") == F.col("doc_id"))
-        .select("doc_id", "words", "component", "block", "low", "high", "bundle")
+        shares.join(one, F.col("node") == F.col("number"))
+        .select(
+            F.col("number").alias("doc_id"), "words", "component", "block", "low", "high", "bundle"
+        )
         .groupBy("bundle", "low", "high")
         .applyInPandas(verifier(threshold), FOUND)
     )
@@ -288,39 +320,68 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
             F.col("doc_id").alias("a"), F.col("other").alias("b")
         )
     )
-    described = (
-        classes.select("of_key", "class_id")
-        .join(links, F.col("class_id") == F.col("linked"), "left")
-        .join(groups, F.col("class_id") == F.col("node"), "left")
+    tied = (
+        classes.select("of_key", "class_id", "number")
+        .join(links, F.col("number") == F.col("linked"), "left")
+        .join(groups, F.col("number") == F.col("node"), "left")
         .select(
             "of_key",
             "class_id",
             F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-            F.coalesce("component", "class_id").alias("group_id"),
+            F.coalesce("component", "number").alias("group"),
         )
     )
+    heads = tied.groupBy(F.col("group").alias("headed")).agg(
+        F.min(F.struct("class_id", "of_key")).alias("head")
+    )
+    whole = tied.join(heads, F.col("group") == F.col("headed")).drop("headed")
     return (
-        sketches.select("doc_id", "set_key")
-        .join(described, F.col("set_key") == F.col("of_key"), "left")
+        sketches.select("doc_id", "text_key", "set_key")
+        .join(whole, F.col("set_key") == F.col("of_key"), "left")
         .select(
             "doc_id",
+            "text_key",
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-            F.coalesce("group_id", "doc_id").alias("group_id"),
+            F.coalesce("head.class_id", "doc_id").alias("group_id"),
+            F.coalesce(
+                (F.col("doc_id") == F.col("head.class_id")) & (F.col("set_key") == F.col("head.of_key")),
+                F.lit(True),
+            ).alias("keep"),
+            F.col("head.of_key").alias("head_key"),
         )
-        .withColumn("keep", F.col("doc_id") == F.col("group_id"))
     )
 
 
+def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, links, group_id and keep of every document."""
+    return described(documents, threshold, recall).drop("text_key", "head_key")
+
+
 def first_of_groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, with its columns as they came."""
-    kept_ids = joined(documents, threshold).filter("keep").select(F.col("doc_id").alias("kept_id"))
+    """One document of each group, with its columns as they came.
+
+    Texts without words are kept once per id and text.
+    """
+    found = described(documents, threshold, RECALL).filter("keep")
+    grouped = found.filter(F.col("head_key").isNotNull()).groupBy("doc_id", "head_key").agg(
+        F.min("text_key").alias("text_key")
+    )
+    wanted = (
+        grouped.select("doc_id", "text_key")
+        .unionByName(found.filter(F.col("head_key").isNull()).select("doc_id", "text_key"))
+        .distinct()
+        .select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    )
     rows = documents.select(
-        F.struct(*[F.col(c) for c in documents.columns]).alias("row"), own_id().alias("own")
+        F.struct(*[F.col(c) for c in documents.columns]).alias("row"),
+        own_id().alias("own"),
+        text_key().alias("own_key"),
     )
+    same = (F.col("own") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
     return (
-        rows.join(kept_ids.distinct(), F.col("own") == F.col("kept_id"), "left_semi")
-        .groupBy("own")
+        rows.join(wanted, same, "left_semi")
+        .groupBy("own", "own_key")
         .agg(F.first("row").alias("row"))
         .select("row.*")
     )

@@ -107,6 +107,21 @@ def labelled(n=600):
     return rows, marks
 
 
+def test_an_id_with_two_texts_loses_neither(spark, documents):
+    draw = random.Random(21)
+    a, b = text_of(draw, 80), text_of(draw, 80)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, near), (3, b + " !"), (1, ""), (4, None), (4, "")]
+    kept_rows = jaccard.first_of_groups(documents(rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept_rows) == sorted(
+        [(1, a), (1, b), (1, ""), (4, "")])
+    found = sorted((r.doc_id, r.class_id, r.links, r.group_id, r.keep)
+                   for r in jaccard.joined(documents(rows)).collect())
+    assert found == [
+        (1, 1, 0, 1, True), (1, 1, 0, 1, True), (1, 1, 1, 1, True), (2, 2, 1, 1, False),
+        (3, 1, 0, 1, False), (4, 4, 0, 4, True), (4, 4, 0, 4, True)]
+
+
 @pytest.mark.parametrize("operator,at", [(toxicity, 2), (quality, 1)])
 def test_scores_on_held_out_documents(documents, labels, operator, at):
     rows, marks = labelled()
