@@ -7,14 +7,17 @@ floor(r / m) bits in one of m substrings at least, so probing every index within
 retrieves every code within r. What is retrieved and lies within r is ranked by cosine on the
 original vectors.
 
-The codes and the radius are learned on at most `SAMPLE` vectors, taken by the hash of their id;
+The codes and the radius are learned on at most `SAMPLE` vectors, taken by the hash of their row;
 every row is indexed. The radius is the one that holds `COVER` of the true neighbours inside the
 sample. Neighbours come closer as rows are added, so it errs on the safe side for more rows.
 A query that retrieves fewer than k rows is searched again with a radius that spans all codes.
 
-Null, zero and non-finite vectors take no part. Equal vectors tie and the smaller id wins. An
-empty table gives an empty result. Rows that repeat an id are separate candidates, except the
-query's own id.
+Null, zero and non-finite vectors take no part. Vectors are compared with those of their own
+dimension, each dimension with a coding of its own. Equal vectors tie and the smaller id wins. Rows
+that repeat an id are separate candidates and queries: only the query's own row is left out. Rows
+without an id are candidates that come last among ties. Vectors are read whole whatever their length.
+Only vec_id and embedding are read, so further columns and their names do not matter. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfindex.llm.common import kept
-from shelfindex.llm.vectors import nearest, search_blocks, stacked, usable
+from shelfindex.llm.vectors import NO_ID, nearest, search_blocks, shown, stacked, usable
 
 SAMPLE = 4_000
 SAMPLE_QUERIES = 1_000
@@ -128,57 +131,62 @@ class SubstringIndex:
         return rows[hamming(self.words[rows], word) <= radius]
 
 
-def searcher(codes: Codes, k: int):
-    parts = -(-codes.bits // SUBSTRING_BITS)
-    masks = flips(SUBSTRING_BITS, codes.radius // parts)
-
+def searcher(codings: dict[int, Codes], k: int):
     def search(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         hits = []
         if len(base) and len(queries):
             vectors, ids = stacked(base["vec"]), base["vec_id"].to_numpy()
-            lengths = np.linalg.norm(vectors, axis=1)
+            codes = codings[vectors.shape[1]]
+            parts = -(-codes.bits // SUBSTRING_BITS)
+            masks = flips(SUBSTRING_BITS, codes.radius // parts)
+            lengths, rows = np.linalg.norm(vectors, axis=1), base["row"].to_numpy()
             index = SubstringIndex(codes.encode(vectors))
             asked = stacked(queries["vec"])
-            for own, vector, word in zip(
-                queries["vec_id"], asked, codes.encode(asked), strict=True
+            for own, own_id, vector, word in zip(
+                queries["row"], queries["vec_id"], asked, codes.encode(asked), strict=True
             ):
-                rows = index.within(word, codes.radius, masks)
-                rows = rows[ids[rows] != own]
-                cosines = (vectors[rows] @ vector) / (lengths[rows] * np.linalg.norm(vector))
-                best = np.lexsort((ids[rows], -cosines))[:k]
+                near = index.within(word, codes.radius, masks)
+                near = near[rows[near] != own]
+                cosines = (vectors[near] @ vector) / (lengths[near] * np.linalg.norm(vector))
+                best = np.lexsort((ids[near], -cosines))[:k]
                 hits.append(
                     pd.DataFrame(
-                        {"query_id": own, "vec_id": ids[rows][best], "score": cosines[best]}
+                        {"query_row": own, "query_id": own_id, "vec_id": ids[near][best],
+                         "score": cosines[best]}
                     )
                 )
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        empty = pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
         return pd.concat(hits) if hits else empty
 
     return search
 
 
+def codings_of(base: DataFrame, k: int) -> dict[int, Codes]:
+    """A coding for each dimension that occurs, learned on a sample of its vectors."""
+    found = {}
+    for size in sorted(row["size"] for row in base.select("size").distinct().collect()):
+        order = [F.xxhash64("row"), "row"]
+        sample = base.filter(F.col("size") == size).orderBy(*order).limit(SAMPLE).select("vec")
+        found[size] = learn(np.array([row["vec"] for row in sample.collect()]), k)
+    return found
+
+
 def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which `is_query`."""
-    base = kept(usable(embeddings, zero_counts=False), "ann-base")
-    queries = base.filter(is_query)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()
-    if not sample:
-        nothing = "query_id long, vec_id long, score double"
-        return nearest(base.sparkSession.createDataFrame([], nothing), k)
-    codes = learn(np.array([row["vec"] for row in sample]), k)
-
-    def hits(asked: DataFrame, coding: Codes) -> DataFrame:
-        return search_blocks(
-            base, asked, searcher(coding, k), "double", BLOCK_ROWS, QUERY_ROWS
-        )
-
-    found = kept(nearest(hits(queries, codes), k), "ann-found")
-    enough = found.groupBy("query_id").count().filter(F.col("count") >= k)
+    base = usable(embeddings, zero_counts=False)
+    queries = base.filter((F.col("vec_id") != NO_ID) & is_query)
+    codings = codings_of(base, k)
+
+    def hits(asked: DataFrame, used: dict[int, Codes]) -> DataFrame:
+        return search_blocks(base, asked, searcher(used, k), "double", BLOCK_ROWS, QUERY_ROWS)
+
+    found = kept(nearest(hits(queries, codings), k), "ann-found")
+    enough = found.groupBy("query_row").count().filter(F.col("count") >= k)
     short = kept(
-        queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"), "ann-short"
+        queries.join(enough, F.col("row") == F.col("query_row"), "left_anti"), "ann-short"
     )
     if short.isEmpty():
-        return found
-    wide = Codes(codes.centre, codes.turn, codes.bits)
+        return shown(found)
+    wide = {size: Codes(c.centre, c.turn, c.bits) for size, c in codings.items()}
     again = nearest(hits(short, wide), k)
-    return found.join(enough, "query_id", "left_semi").unionByName(again)
+    return shown(found.join(enough, "query_row", "left_semi").unionByName(again))

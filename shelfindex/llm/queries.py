@@ -243,19 +243,20 @@ LEFT JOIN grouped ON grouped.a = described.class_id
 """,
     "op5_vector_approximation": f"""
 WITH whole AS (
-    SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE))::BIGINT FOR x IN embedding] AS v
+    SELECT row_number() OVER () AS r, vec_id,
+        [floor(1024 * CAST(x AS DOUBLE))::BIGINT FOR x IN embedding] AS v
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    WHERE len(embedding) > 0
       AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ),
 scored AS (
-    SELECT q.vec_id AS query_id, b.vec_id,
+    SELECT q.r, q.vec_id AS query_id, b.vec_id,
         list_sum([p[1] * p[2] FOR p IN list_zip(q.v, b.v)])::BIGINT AS score
-    FROM whole q JOIN whole b ON q.vec_id <> b.vec_id
+    FROM whole q JOIN whole b ON q.r <> b.r AND len(q.v) = len(b.v)
     WHERE q.vec_id % 100 = 0
 ),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
     FROM scored
 )
 SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= {PRODUCTS}

@@ -1,6 +1,7 @@
 """Nearest neighbours and exact search against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfindex.llm import ann, exact_search
@@ -8,7 +9,7 @@ from tests.llm.conftest import vectors
 
 ODD = [(9001, None), (9002, [0.0] * 12), (9003, [1.0, None] + [0.0] * 10),
        (9004, [float("nan")] + [1.0] * 11), (9005, [float("inf")] + [1.0] * 11), (9006, []),
-       (None, [1.0] * 12), (9007, [1.0, 2.0])]
+       (9007, [1.0, 2.0])]
 
 
 def test_neighbours_recall_and_scores(embeddings):
@@ -68,3 +69,29 @@ def test_bounds_hold_every_product():
 
 def test_exact_search_of_nothing(embeddings):
     assert exact_search.top_products(embeddings([]), F.col("vec_id") == 0, 10).count() == 0
+
+
+def test_repeated_ids_missing_ids_and_mixed_dimensions(embeddings):
+    rows = [(50, [1, 0]), (50, [1, 0.5]), (None, [1, 0.1]), (7, [1, 0, 0]), (100, [1, 0.2, 0]),
+            (100, [0, 1, 0]), (3, [0, 1, 0])]
+    table = embeddings(rows).withColumn("row", F.lit(0)).withColumn("size", F.lit("x"))
+    for search in (ann.nearest_neighbours, exact_search.top_products):
+        got = search(table, F.col("vec_id") % 50 == 0, 5).collect()
+        flat = sorted((r.query_id, r["rank"], -1 if r.vec_id is None else r.vec_id) for r in got)
+        assert [f[:2] for f in flat] == sorted(
+            [(50, 1), (50, 2)] * 2 + [(100, 1), (100, 2), (100, 3)] * 2)
+        assert {f[2] for f in flat if f[0] == 50} == {50, -1}
+        assert {f[2] for f in flat if f[0] == 100} == {100, 7, 3}
+
+
+def test_products_beyond_a_long(embeddings):
+    table = embeddings([(0, [3e6, 3e6]), (1, [3e6, 3e6]), (2, [1.0, 1.0])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_search.top_products(table, F.col("vec_id") == 0, 1).collect()
+    exact = exact_search.integers(np.array([[1e15, -1e15], [1e16, 1e16], [2.0, 1.0]]))
+    query = exact_search.integers(np.array([[4.0, 4.0]]))[0]
+    assert list(exact_search.products(exact, query)) == [
+        0, 2 * int(1024 * 1e16) * 4096, 4096 * 3072]
+    big = embeddings([(0, [2e15, 2e15]), (1, [1e15, -1e15]), (2, [1e-3, 0.0])])
+    got = exact_search.top_products(big, F.col("vec_id") == 0, 1).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, int(np.float32(2e15)) * 1024)]
