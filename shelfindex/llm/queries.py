@@ -69,11 +69,13 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of pages as read back; the archives hold no gaps unless they were damaged."""
+    """Records of pages as read back; a gap in an archive just written is an error, not a row less."""
     found = warc.archived(table(spark, folder, "pages"))
-    return found.filter(F.col("kind") != "gap").select(
-        "page_id", "payload_bytes", "payload_digest",
-        F.col("kind").alias("record_type"), "refers_to",
+    whole = F.when(F.col("kind") != "gap", F.col("kind")).otherwise(
+        F.raise_error(F.lit("an archive came back damaged: pages are missing from it"))
+    )
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to"
     )
 
 
