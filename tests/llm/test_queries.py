@@ -17,6 +17,12 @@ SHAPES = {
     "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_warc": "page_id bigint, payload_bytes bigint, payload_digest string, "
     "record_type string, refers_to bigint",
+    "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, "
+    "n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_i_match": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
+    "edited_fingerprint string, near_edited double, near_next double",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, "
+    "period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
