@@ -217,6 +217,7 @@ QUERIES: dict[str, Callable[[Tables, StarSource], DataFrame]] = {
     "same_size": lambda t, s: catalog.same_size(t, STORE, PRODUCT_KEY).select(
         "store_id", "product_key", "name", "price", "similarity"
     ),
+    "same_size_all": lambda t, s: catalog.same_size_all(t),
     "search_browse": lambda t, s: hits(catalog.search(t, Search(limit=40))),
     "search_tokens": lambda t, s: hits(
         catalog.search(t, Search(q="Small ring", limit=200))

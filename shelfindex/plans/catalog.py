@@ -26,6 +26,7 @@ from shelfindex.operators.ordered import latest_by, top_by
 from shelfindex.operators.paging import Page, after, fetched, probe, take_page
 from shelfindex.operators.quantile import quantiles_of_counts
 from shelfindex.operators.restrict import only_keys
+from shelfindex.operators.similar import similar_names
 from shelfindex.plans.bulletins import srp_latest
 from shelfindex.plans.pins import PRODUCT
 from shelfindex.sources.tables import Tables
@@ -426,3 +427,36 @@ def same_size(tables: Tables, store_id: str, product_key: str) -> DataFrame:
         )
         .limit(SAME_SIZE_ROWS)
     )
+
+
+def same_size_all(tables: Tables, limit: int = SAME_SIZE_ROWS) -> DataFrame:
+    """For every listed product the `limit` most similar listed products of its size elsewhere.
+
+    Names are compared once each. Of the products under one name only the first that could reach a
+    place go on: at most `limit` of a store and twice that in all, since only the asking store's own
+    are passed over. So a name that every store carries does not give all pairs of stores.
+    """
+    size = ["size_quantity", "size_base_uom"]
+    shown = (
+        catalogue(tables)
+        .filter(F.col("active") & listed(tables) & F.col("size_quantity").isNotNull())
+        .select(*PRODUCT, "name", *size)
+    )
+    priced = with_latest(shown, tables).select(*PRODUCT, "name", *size, "price")
+    order = [F.col("price").asc_nulls_last(), F.col("store_id"), F.col("product_key")]
+    first = top_by(
+        top_by(priced, [*size, "name", "store_id"], order, limit), [*size, "name"], order, 2 * limit
+    )
+    offers = first.select(
+        *size, F.col("name").alias("other"), F.col("store_id").alias("other_store"),
+        F.col("product_key").alias("other_key"), "price",
+    )
+    met = (
+        shown.join(similar_names(shown, size, SIMILAR_FROM), [*size, "name"])
+        .join(offers, [*size, "other"])
+        .filter(F.col("other_store") != F.col("store_id"))
+    )
+    best = [F.col("similarity").desc(), F.col("price").asc_nulls_last(), "other_store", "other_key"]
+    return top_by(met, PRODUCT, best, limit).select(
+        *PRODUCT, "other_store", "other_key", "price", "similarity"
+    )

@@ -16,6 +16,7 @@ from shelfindex.operators.ordered import (
     latest_by, range_number, slice_cuts, top_by, with_neighbour,
 )
 from shelfindex.operators.quantile import exact_quantiles
+from shelfindex.operators.similar import similar_names
 from tests.conftest import at
 
 KEYS = ["store_id", "product_key"]
@@ -219,3 +220,23 @@ def test_calendar_length(spark):
     days = shown(carried(spark, [("a", 1, 2, 1)], until=31))
     first = date(2024, 1, 2)
     assert len(days) == (date(2024, 1, 31) - first + timedelta(1)).days
+
+
+def test_similar_names_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["red", "rice", "riced", "bolt", "bolts", "small", "smaller", "x", "jasmine"]
+    rows = {(rng.choice([1.0, 2.0]), " ".join(rng.sample(words, rng.randint(1, 4)))) for _ in range(120)}
+    rows |= {(1.0, ""), (1.0, "!!")}
+
+    def grams(name):
+        return {f"  {w} "[i : i + 3] for w in name.split() if w.isalnum() for i in range(len(w) + 1)}
+
+    def share(a, b):
+        either = grams(a) | grams(b)
+        return len(grams(a) & grams(b)) / len(either) if either else 0.0
+
+    for at_least in (0.3, 0.5, 0.8):
+        df = spark.createDataFrame(sorted(rows), "size double, name string")
+        found = similar_names(df, ["size"], at_least).collect()
+        assert sorted((r.size, r.name, r.other) for r in found) == sorted(
+            (s, a, b) for s, a in rows for t, b in rows if s == t and share(a, b) >= at_least)

@@ -208,6 +208,23 @@ def test_same_size(tiny):
     assert [r.product_key for r in catalog.same_size(tables, "a", "k").collect()] == ["k"]
 
 
+def test_same_size_of_all_products(tiny):
+    """A store with many listings of one name never crowds out the others' matches."""
+    crowd = [product("a", f"k{n}", "Jasmine rice") for n in range(9)]
+    tables = tiny(
+        stores=[store("a"), store("b"), store("c"), store("d", active=False)],
+        products=[*crowd, product("b", "k", "Jasmine rice"), product("c", "k", "Jasmine rice 1kg"),
+                  product("d", "k", "Jasmine rice"), product("c", "m", "Engine oil")])
+    found = {}
+    for r in catalog.same_size_all(tables, limit=2).collect():
+        found.setdefault((r.store_id, r.product_key), []).append((r.other_store, r.other_key))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        **{("a", f"k{n}"): [("b", "k"), ("c", "k")] for n in range(9)},
+        ("b", "k"): [("a", "k0"), ("a", "k1")],
+        ("c", "k"): [("a", "k0"), ("a", "k1")],
+    }
+
+
 def series(id, source, **more):
     return dict(id=id, source=source, commodity="c", variant="", brand="", region="", place="",
                 unit="u") | more
