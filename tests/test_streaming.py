@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfindex.operators.changes import change_only
 from shelfindex.streaming import events as streams
+from shelfindex.streaming import history as price_history
 from shelfindex.streaming.history import PriceHistory
 from shelfindex.streaming.sinks import run_available
 from tests.conftest import at
@@ -133,3 +134,27 @@ def test_resume_after(spark):
         "at timestamp, source string, id string")
     left = streams.resume_after(events, at(1), "run", "1").orderBy("at", "source", "id").collect()
     assert [(r.source, r.id) for r in left] == [("run", "2"), ("alert", "1")]
+
+
+def test_products_share_rows_of_state(spark, tmp_path, monkeypatch):
+    """State and calls follow groups of products; each product still has its own steps."""
+    monkeypatch.setattr(price_history, "SHELVES", 3)
+    rows = [("s" if i % 2 else None, f"k{i % 40}", i, at(1 + i // 20), Decimal(i % 3 + 1))
+            for i in range(1, 400)]
+    df = spark.createDataFrame(rows, READING)
+    stream = in_files(spark, df, f"{tmp_path}/in", [0, 150, 399])
+    history = PriceHistory(spark, f"{tmp_path}/out")
+    spark.conf.set(price_history.STATE_STORE, price_history.ROCKS)
+    query = run_available(history.changes(stream), history.checkpoint, history.record)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
+
+
+def test_steps_that_nobody_keeps_are_not_made(spark, tmp_path):
+    df = readings(spark, 60)
+    stream = in_files(spark, df.unionByName(df.filter("id <= 5")), f"{tmp_path}/in", [0, 60])
+    kinds = []
+    run_available(
+        PriceHistory(spark, f"{tmp_path}/out").changes(stream, steps=False), f"{tmp_path}/log",
+        lambda changes, batch: kinds.extend(r.kind for r in changes.select("kind").collect()))
+    assert kinds.count("late") == 5 and set(kinds) == {"late", "latest"}
