@@ -73,7 +73,9 @@ INPUT = {
     """,
 }
 # Tables written out on first use; the others are cheap projections of an input table.
-INGESTED = {"price_observations", "products", "gov_series", "gov_prices", "baselines"}
+INGESTED = {
+    "price_observations", "products", "basket_map", "gov_series", "gov_prices", "baselines",
+}
 # Parts with even keys are sold as one of the staples, ten others together as a line of their own.
 STAPLES = 20
 PARTS_PER_LINE = 10
@@ -221,15 +223,19 @@ class StarSource:
 
         Some stores leave the size off a label or measure the product otherwise.
         """
+        return self._label(products.join(self.lines(), "sku"), products.columns)
+
+    def _label(self, products: DataFrame, kept: list[str]) -> DataFrame:
+        """The `kept` columns of products joined with their lines, with label and size."""
         sku, n = F.col("sku"), F.substring("store_id", 3, 9).cast("int")
         unsized = (7 * sku + 3 * n) % 41 == 0
         uom = _pick(UOMS, ((sku % 20) % 3 + F.when((5 * sku + 2 * n) % 37 == 1, 1).otherwise(0)) % 3)
-        shown = products.join(self.lines(), "sku").withColumn("size_base_uom", uom)
+        shown = products.withColumn("size_base_uom", uom)
         size = F.when(F.col("size_base_uom") == "count", F.col("p_size")).otherwise(
             F.col("p_size") * 100
         )
         return shown.select(
-            *products.columns,
+            *kept,
             "size_base_uom",
             F.when(~unsized, size).cast("double").alias("size_quantity"),
             F.concat_ws(" ", "p_name", "p_type", "p_size").alias("name"),
@@ -241,12 +247,17 @@ class StarSource:
         return self.with_unit_prices(steps)
 
     def with_unit_prices(self, steps: DataFrame) -> DataFrame:
-        """Price steps with their store's currency and the unit price by the product's size."""
-        currencies = self.stores().select("store_id", "currency")
+        """Price steps with their store's currency and the unit price by the product's size.
+
+        Sizes meet the steps by store and product, as change detection has laid them out, and not
+        by product line: half of all steps are of few lines.
+        """
+        shops = self.stores().agg(F.collect_list(F.struct("store_id", "currency"))).scalar()
+        shelves = self.lines().withColumn("shop", F.explode(shops)).select("*", "shop.*")
+        sizes = self._label(shelves, ["store_id", "sku", "currency"])
         quantity, uom = F.col("size_quantity"), F.col("size_base_uom")
         return (
-            self._labelled(steps)
-            .join(currencies, "store_id")
+            steps.join(sizes, ["store_id", "sku"])
             .select(
                 "id",
                 "store_id",

@@ -81,6 +81,43 @@ def test_neighbours_in_slices(spark, width, ahead):
     assert {r.id: r.near for r in found} == expected
 
 
+@pytest.mark.parametrize("most", [1, 20, 100])
+@pytest.mark.parametrize("ahead", [False, True])
+def test_only_crowded_keys_are_sliced(spark, most, ahead):
+    df = skewed(spark, 300)
+    found = with_neighbour(
+        df, KEYS, "id", {"near": "id"}, ahead=ahead, cuts=every(13), most=most).collect()
+    by_key = {}
+    for r in sorted(df.collect(), key=lambda r: r.id, reverse=ahead):
+        by_key.setdefault(r.product_key, [None]).append(r.id)
+    expected = {b: a for ids in by_key.values() for a, b in zip(ids, ids[1:])}
+    assert {r.id: r.near for r in found} == expected
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uncrowded_keys_take_one_shuffle(spark):
+    df = skewed(spark).repartition(3)
+    whole = with_neighbour(df, KEYS, "id", {"near": "id"}, cuts=every(50))
+    assert plan_of(whole).count("Exchange hashpartitioning") == 1
+    sliced = with_neighbour(df, KEYS, "id", {"near": "id"}, cuts=every(50), most=100)
+    assert plan_of(sliced).count("Exchange hashpartitioning") > 1
+
+
+def test_latest_reduces_by_hash_before_the_shuffle(spark):
+    """Texts and nulls go with the newest row, and the whole input is not sorted for it."""
+    rows = [("s", f"k{i % 5}", i, "new" if i % 3 else None, None if i % 4 else Decimal(i))
+            for i in range(1, 101)]
+    df = spark.createDataFrame(
+        rows, "store_id string, product_key string, id bigint, change string, price decimal(12,4)")
+    newest = latest_by(df, KEYS, "id", ["change", "price"])
+    assert {(r.product_key, r.change, r.price) for r in newest.collect()} == {
+        (r[1], r[3], r[4]) for r in rows[-5:]}
+    assert "HashAggregate" in plan_of(newest)
+
+
 def test_a_stray_id_leaves_slices_even(spark):
     far = spark.range(1, 20_001).unionByName(spark.createDataFrame([(10**17,), (-(10**17),)], "id long"))
     cuts = slice_cuts(far, "id", 20_002, target=1_000)
