@@ -429,12 +429,20 @@ def same_size(tables: Tables, store_id: str, product_key: str) -> DataFrame:
     )
 
 
+def first_elsewhere(
+    df: DataFrame, keys: list[str], store: str, order: list[Column], limit: int
+) -> DataFrame:
+    """Rows that hold, for any one store passed over, the first `limit` per key of all others."""
+    return top_by(top_by(df, [*keys, store], order, limit), keys, order, 2 * limit)
+
+
 def same_size_all(tables: Tables, limit: int = SAME_SIZE_ROWS) -> DataFrame:
     """For every listed product the `limit` most similar listed products of its size elsewhere.
 
-    Names are compared once each. Of the products under one name only the first that could reach a
-    place go on: at most `limit` of a store and twice that in all, since only the asking store's own
-    are passed over. So a name that every store carries does not give all pairs of stores.
+    Names are compared once each. Of the products under one name, and again of those under all names
+    similar to one, only the first that could reach a place go on: at most `limit` of a store and
+    twice that in all, since only the asking store's own are passed over. So neither a name that
+    every store carries nor a name like many others gives all pairs of products.
     """
     size = ["size_quantity", "size_base_uom"]
     shown = (
@@ -444,19 +452,15 @@ def same_size_all(tables: Tables, limit: int = SAME_SIZE_ROWS) -> DataFrame:
     )
     priced = with_latest(shown, tables).select(*PRODUCT, "name", *size, "price")
     order = [F.col("price").asc_nulls_last(), F.col("store_id"), F.col("product_key")]
-    first = top_by(
-        top_by(priced, [*size, "name", "store_id"], order, limit), [*size, "name"], order, 2 * limit
-    )
+    first = first_elsewhere(priced, [*size, "name"], "store_id", order, limit)
     offers = first.select(
         *size, F.col("name").alias("other"), F.col("store_id").alias("other_store"),
         F.col("product_key").alias("other_key"), "price",
     )
-    met = (
-        shown.join(similar_names(shown, size, SIMILAR_FROM), [*size, "name"])
-        .join(offers, [*size, "other"])
-        .filter(F.col("other_store") != F.col("store_id"))
-    )
     best = [F.col("similarity").desc(), F.col("price").asc_nulls_last(), "other_store", "other_key"]
+    alike = similar_names(shown, size, SIMILAR_FROM).join(offers, [*size, "other"])
+    places = first_elsewhere(alike, [*size, "name"], "other_store", best, limit)
+    met = shown.join(places, [*size, "name"]).filter(F.col("other_store") != F.col("store_id"))
     return top_by(met, PRODUCT, best, limit).select(
         *PRODUCT, "other_store", "other_key", "price", "similarity"
     )

@@ -225,6 +225,31 @@ def test_same_size_of_all_products(tiny):
     }
 
 
+def test_same_size_keeps_few_places_per_name(tiny):
+    """However many names are alike, a name's places are twice the limit, and any store finds its own."""
+    listed = [product(s, f"k{n:02}", f"Jasmine rice premium long grain {n:02}")
+              for s in "abc" for n in range(12)]
+    tables = tiny(stores=[store(s) for s in "abc"], products=listed)
+    alike = tables.products.select(
+        F.lit("any").alias("name"), F.col("store_id").alias("other"), "product_key")
+    kept = catalog.first_elsewhere(alike, ["name"], "other", [F.col("product_key")], 3)
+    assert kept.count() == 6 and kept.groupBy("other").count().agg(F.max("count")).first()[0] <= 3
+    found = catalog.same_size_all(tables, limit=3).groupBy("store_id", "product_key").count()
+    assert {r["count"] for r in found.collect()} == {3} and found.count() == 36
+
+
+def test_only_products_of_the_tiers_are_reduced(tiny):
+    tables = tiny(
+        stores=[store("a")], items=[item("rice"), item("soap", tier="registered")],
+        basket_map=[pin("rice", "a", "r"), pin("soap", "a", "s"), pin("rice", "a", None)],
+        products=[product("a", "r"), product("a", "s")],
+        price_observations=[price(1, "a", "r", 1, 10), price(2, "a", "s", 1, 10),
+                            price(3, "a", "r", 1, 12), price(4, "a", "other", 1, 1)])
+    assert [(r.product_key, int(r.id)) for r in pins.pinned_days(tables).collect()] == [("r", 3)]
+    both = pins.pinned_days(tables, ("core", "registered")).collect()
+    assert sorted((r.product_key, int(r.id)) for r in both) == [("r", 3), ("s", 2)]
+
+
 def series(id, source, **more):
     return dict(id=id, source=source, commodity="c", variant="", brand="", region="", place="",
                 unit="u") | more
