@@ -79,6 +79,8 @@ INGESTED = {
 # Parts with even keys are sold as one of the staples, ten others together as a line of their own.
 STAPLES = 20
 PARTS_PER_LINE = 10
+# Suppliers that are sent to the tasks which read line items; two numbers each.
+MOST_SENT = 1_000_000
 # A reading's id: day, order (12 digits), line (2), part (10) and supplier (8).
 ID = "decimal(38,0)"
 
@@ -126,6 +128,7 @@ class StarSource:
         self.spark = spark
         self.folder = folder
         self._cuts: list | None = None
+        self._few_suppliers: bool | None = None
         self._root: str | None = None
         self._bulletins: DataFrame | None = None
         self._derived: dict[str, DataFrame] = {}
@@ -163,6 +166,19 @@ class StarSource:
             self._cuts = slice_cuts(self.readings(), "id", rows)
         return self._cuts
 
+    def suppliers(self) -> DataFrame:
+        """The nation of every supplier, sent to the line items if it is counted to be small.
+
+        Left to the size of the file, line items would be shuffled and sorted by supplier at every
+        reading once that file is above the threshold, which is long before the pairs are many.
+        """
+        supplier = self.raw("supplier")
+        if supplier.isStreaming:
+            return supplier
+        if self._few_suppliers is None:
+            self._few_suppliers = supplier.count() <= MOST_SENT
+        return F.broadcast(supplier) if self._few_suppliers else supplier
+
     def stores(self) -> DataFrame:
         n = F.col("n_nationkey")
         return (
@@ -200,9 +216,8 @@ class StarSource:
             keep.alias("keep"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
         )
-        supplier = self.raw("supplier").select("s_suppkey", "s_nationkey")
         whole = F.expr("(2 * cents * keep + 100 * quantity) div (200 * quantity)")
-        return line.join(supplier, "s_suppkey").select(
+        return line.join(self.suppliers(), "s_suppkey").select(
             "id",
             _store_id(F.col("s_nationkey")).alias("store_id"),
             "sku",
@@ -322,8 +337,8 @@ class StarSource:
         lines = self.raw("lineitem").select(
             line_of("l_partkey").alias("i"), F.col("l_suppkey").alias("s_suppkey")
         )
-        supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
-        return lines.join(supplier, "s_suppkey").select("i", "n").distinct()
+        pins = lines.join(self.suppliers(), "s_suppkey")
+        return pins.select("i", F.col("s_nationkey").alias("n")).distinct()
 
     def basket_map(self) -> DataFrame:
         i, n = F.col("i"), F.col("n")

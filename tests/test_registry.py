@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from checks.registry import registered
 from shelfindex.plans import bulletins, catalog
 from shelfindex.plans.catalog import Search
 from shelfindex.session import shared_folder, size_shuffles
+from shelfindex.sources import star
 from shelfindex.sources.sinks import as_documents, with_source, write_documents, write_table
 from shelfindex.sources.star import StarSource, product_key_of
 from shelfindex.sources.tables import Tables
@@ -156,3 +159,26 @@ def test_documents(spark, stored, tmp_path):
     assert documents.first().document.startswith('{"commodity":')
     write_documents(nested, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == nested.count()
+
+
+def test_line_items_stay_where_they_are_read_while_suppliers_are_few(spark, tmp_path, monkeypatch):
+    day = datetime(1998, 1, 5)
+    lines = [(n, 2 + n % 3, 1 + n % 4, 1, 1.0, 5.0 + n, 0.0, day) for n in range(40)]
+    suppliers = [(1, 3), (2, 4), (2, 4), (3, None), (None, 5)]
+    for name, rows in ("lineitem", lines), ("supplier", suppliers):
+        made = spark.createDataFrame(rows, star.INPUT[name])
+        made.write.parquet(f"{tmp_path}/{name}.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = []
+    try:
+        for most in (star.MOST_SENT, 2):
+            monkeypatch.setattr(star, "MOST_SENT", most)
+            source = StarSource(spark, str(tmp_path))
+            for df in (source.readings(), source._pinned()):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert ("SortMergeJoin" in plan) == (most == 2)
+                found.append(sorted(map(str, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found[:2] == found[2:] and len(found[0]) == 40
