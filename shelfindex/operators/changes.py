@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,10 @@ from shelfindex.operators.ordered import with_neighbour
 
 
 def change_only(
-    df: DataFrame, keys: Sequence[str], order: str = "id", cuts: Sequence = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str = "id",
+    cuts: Sequence | Callable[[], Sequence] = (),
 ) -> DataFrame:
     """Readings with `price` reduced to steps, with change, previous_price and delta."""
     seen = with_neighbour(df, keys, order, {"previous_price": "price"}, cuts=cuts)

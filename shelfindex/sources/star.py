@@ -10,6 +10,7 @@ in any SQL dialect; `checks/oracle_base.py` does that.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfindex.functions.prices import basis_of, unit_price
 from shelfindex.operators.changes import change_only
-from shelfindex.operators.ordered import slice_cuts
+from shelfindex.operators.ordered import cuts_if_needed
 from shelfindex.plans import quality
 from shelfindex.session import checkpointed, scratch_path, size_shuffles
 from shelfindex.sources.sinks import write_table
@@ -127,7 +128,7 @@ class StarSource:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._cuts: list | None = None
+        self._cuts: Sequence | Callable[[], list] | None = None
         self._few_suppliers: bool | None = None
         self._root: str | None = None
         self._bulletins: DataFrame | None = None
@@ -158,12 +159,12 @@ class StarSource:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(INPUT[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def id_cuts(self) -> list:
-        """Where slices of the readings begin, by their counted ids."""
+    def id_cuts(self) -> Sequence | Callable[[], list]:
+        """Where slices of the readings begin, by their counted ids; found when a key needs it."""
         if self._cuts is None:
             rows = self.raw("lineitem").count()
             size_shuffles(self.spark, rows)
-            self._cuts = slice_cuts(self.readings(), "id", rows)
+            self._cuts = cuts_if_needed(self.readings, "id", rows)
         return self._cuts
 
     def suppliers(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfindex.operators.asof import daily_values, lowest, outside_gaps, running, value_spans
 from shelfindex.operators.changes import change_only
+from shelfindex.operators import ordered
 from shelfindex.operators.ordered import (
     latest_by, range_number, slice_cuts, top_by, with_neighbour,
 )
@@ -106,6 +107,21 @@ def test_uncrowded_keys_take_one_shuffle(spark):
     assert plan_of(sliced).count("Exchange hashpartitioning") > 1
 
 
+def test_ids_are_cut_only_for_crowded_keys(spark, monkeypatch):
+    asked = []
+    cut = ordered.slice_cuts
+    monkeypatch.setattr(ordered, "slice_cuts", lambda *a: asked.append(a) or cut(*a))
+    df = skewed(spark, 300)
+    cuts = ordered.cuts_if_needed(lambda: df, "id", 300, 50)
+    whole = with_neighbour(df, KEYS, "id", {"near": "id"}, cuts=cuts)
+    assert asked == [] and plan_of(whole).count("Exchange hashpartitioning") == 1
+    sliced = [with_neighbour(df, KEYS, "id", {"near": "id"}, cuts=cuts, most=20) for _ in range(2)]
+    assert len(asked) == 1 and len(cuts()) == 5
+    for found in sliced:
+        assert sorted(found.collect()) == sorted(whole.collect())
+    assert ordered.cuts_if_needed(lambda: df, "id", 300, 300) == ()
+
+
 def test_latest_reduces_by_hash_before_the_shuffle(spark):
     """Texts and nulls go with the newest row, and the whole input is not sorted for it."""
     rows = [("s", f"k{i % 5}", i, "new" if i % 3 else None, None if i % 4 else Decimal(i))
