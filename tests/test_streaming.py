@@ -158,3 +158,51 @@ def test_steps_that_nobody_keeps_are_not_made(spark, tmp_path):
         PriceHistory(spark, f"{tmp_path}/out").changes(stream, steps=False), f"{tmp_path}/log",
         lambda changes, batch: kinds.extend(r.kind for r in changes.select("kind").collect()))
     assert kinds.count("late") == 5 and set(kinds) == {"late", "latest"}
+
+
+def test_ids_of_38_digits_survive_padded_batches(spark, tmp_path):
+    """Python gets ids as longs; where Spark pads its batches of results no digit is lost."""
+    high = 10**38 - 1
+    ids = [-high, 1 - high, -(2**64), -1, 0, 2**63, 2**64, 2**64 + 1, high - 1, high]
+    rows = [(f"s{k}", "k", Decimal(i), at(1 + n), Decimal(n)) for k in range(12) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, READING.replace("id bigint", "id decimal(38,0)"))
+    for n in range(len(ids)):  # every group brings one reading per batch
+        df.filter(F.col("price") == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 3)
+    try:
+        history = PriceHistory(spark, f"{tmp_path}/out")
+        history.run(stream)
+    finally:
+        spark.conf.set(size, before)
+    assert rows_of(history.read_steps(), *STEP) == rows_of(change_only(df, KEYS), *STEP)
+    assert history.read_late().count() == 0
+    assert {int(r.id) for r in history.latest.current().collect()} == {high}
+
+
+def test_null_prices_and_times_equal_the_batch(spark, tmp_path):
+    """A price that is null after one that is not is no step; the next one is new again."""
+    prices = [1, None, 1, 1, None, None, 2, 3, None]
+    rows = [(s, p, 10 * n + k, None if n % 2 else at(1 + n), None if c is None else Decimal(c))
+            for k, (s, p) in enumerate([("s", None), (None, "p"), (None, None), ("s", "p")])
+            for n, c in enumerate(prices)]
+    df = spark.createDataFrame(rows, READING)
+    stream = in_files(spark, df, f"{tmp_path}/in", [-1, 35, 90])
+    history = PriceHistory(spark, f"{tmp_path}/out")
+    history.run(stream)
+    wanted = [*STEP, "observed_at"]
+    assert rows_of(history.read_steps(), *wanted) == rows_of(change_only(df, KEYS), *wanted)
+    assert {(int(r.id), r.price) for r in history.latest.current().collect()} == {
+        (80 + k, None) for k in range(4)}
+
+
+def test_python_gets_no_object_per_number(spark, tmp_path):
+    """A decimal or a time is a Python object per reading; whole numbers come and go as arrays."""
+    stream = in_files(spark, readings(spark, 20), f"{tmp_path}/in", [0, 20])
+    plan = PriceHistory(spark, f"{tmp_path}/out").changes(stream)._jdf.queryExecution().analyzed()
+    while "FlatMapGroupsInPandasWithState" not in plan.nodeName():
+        plan = plan.children().head()
+    for schema in (plan.schema(), plan.children().head().schema()):
+        assert "decimal" not in schema.simpleString() and "timestamp" not in schema.simpleString()
